@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, n_words
 
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 1000
 WEIGHTS = (5, 2, 1)
 
 
@@ -69,9 +69,9 @@ def mix_sources(
     kind = docs.schema[id_col].dataType.simpleString()
     measured = docs.select(F.col(id_col).alias("doc"), F.col(source_col).alias("source"), (size if size is not None else n_words(text_col)).alias("size"))
     rows = materialize(measured.withColumn("key", shuffle_key("doc")).withColumn("row", F.monotonically_increasing_id()), "sizes")
-    ranges = max(1, math.ceil(rows.count() / ROWS_PER_RANGE))
-    width = (1 << 60) // ranges + 1
-    rows = rows.withColumn("range", F.expr(f"key div {width}L"))
+    counts = rows.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "of")
+    ranges = math.ceil(rows.count() / ROWS_PER_RANGE) or 1
+    rows = rows.join(counts, F.col("source").eqNullSafe(F.col("of"))).withColumn("range", F.expr("key div ((1L << 60) div ceil(n / %d) + 1)" % ROWS_PER_RANGE)).drop("of", "n")
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("size"))
     sources = source_targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

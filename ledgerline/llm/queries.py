@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, line_frequency, mixing, packing, quality_vote, secrets, token_counts, warc
+from . import html_text, line_frequency, mixing, packing, quality_vote, secrets, token_counts, vector_links, warc
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op7_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_vote.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,5 +48,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_html_text, op3_line_frequency, op4_mixing, op6_secrets, op7_quality_vote, op9_token_counts, op10_warc)
+    f.__name__: f for f in (op1_packing, op2_html_text, op3_line_frequency, op4_mixing, op6_secrets, op7_quality_vote, op8_vector_links, op9_token_counts, op10_warc)
 }

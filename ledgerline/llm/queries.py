@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html_text, line_frequency, mixing, packing, quality_vote, secrets, token_counts, vector_links, warc
+from . import html_text, line_frequency, mixing, packing, quality_vote, secrets, shingle_links, token_counts, vector_links, warc
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_links.link_shingles(table(spark, sf_dir, "documents"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_html_text, op3_line_frequency, op4_mixing, op6_secrets, op7_quality_vote, op8_vector_links, op9_token_counts, op10_warc)
+    f.__name__: f for f in (op1_packing, op2_html_text, op3_line_frequency, op4_mixing, op5_shingle_links, op6_secrets, op7_quality_vote, op8_vector_links, op9_token_counts, op10_warc)
 }

@@ -127,3 +127,11 @@ def _copies_before_cut(placed: DataFrame, ranges: int, max_repeats: int) -> Colu
                 before = before | (_place(k) <= edge)
         total = total + F.when((F.col("size") > 0) & before, 1).otherwise(0)
     return total
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3) -> DataFrame:
+    """Rows of ``docs``, all columns, as often as the mix takes them; rows that share an id are taken alike."""
+    mixed = mix_sources(docs, id_col, source_col, text_col=text_col, weights=weights, max_repeats=max_repeats)
+    copies = mixed.filter("taken > 0").groupBy(F.col(id_col).alias("mixed_id")).agg(F.max(F.expr("cast(taken div size as int)")).alias("mixed_copies"))
+    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("mixed_id")))
+    return joined.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select(*[docs[c] for c in docs.columns])

@@ -338,3 +338,18 @@ def link_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     per_set = per_set.select("id", "least").join(by_root.select("id", "component"), "id", "left").join(least, "component", "left").select("id", F.coalesce("component_id", "least").alias("component_id"))
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc")).otherwise(F.col("doc"))
     return rows.join(per_set, "id", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """Rows of ``docs``, all columns: of each group of linked documents the one with the least id stays.
+
+    Rows of one group that share that id are reduced to one of them; documents without words all stay. A null id stays only
+    where its group has no other id.
+    """
+    links = materialize(link_shingles(docs, id_col, text_col, percent), "groups")
+    rest = links.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone")).distinct()
+    again = links.filter("n_shingles > 0").groupBy(F.col(id_col).alias("twice"), "component_id").count().filter("count > 1").select("twice").distinct()
+    kept = docs.join(rest, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti")
+    single = kept.join(again, F.col(id_col).eqNullSafe(F.col("twice")), "left_anti")
+    repeated = kept.join(again, F.col(id_col).eqNullSafe(F.col("twice")), "left_semi").dropDuplicates([id_col])
+    return single.union(repeated)

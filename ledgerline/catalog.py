@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from .plans import panel_queries  # noqa: F401
+from .plans.registry import ORACLES, QUERIES  # noqa: F401
 
-QUERIES: dict[str, Callable] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = "asof_backward"
+FLAGSHIP = "asof_forward_lag_gate"

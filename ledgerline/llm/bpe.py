@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -12,6 +13,7 @@ PIECE = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 #: Outside these blocks the installed libraries' Unicode tables can differ; such texts are split by the tokenizer itself.
 ODD = regex.compile(r"[^\x00-՗ -⁯ぁ-ゖァ-ヺ一-龥가-힣]")
 MAX_CACHE = 400_000
+MAX_WHOLE = 200_000
 
 
 class PieceEncoder:
@@ -27,6 +29,7 @@ class PieceEncoder:
         self._splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.cache: dict[str, bytes] = {}
+        self._whole = None
 
     def _plain(self, text: str) -> list[str]:
         if text.isascii() or not ODD.search(text):
@@ -53,9 +56,39 @@ class PieceEncoder:
             for piece, ids in zip(part, self.encode_pieces(part), strict=True):
                 self.cache[piece] = np.asarray(ids, self.dtype).tobytes()
 
+    def whole(self):
+        """A faster encoder of whole plain texts over the same vocabulary, or None where merge order isn't id order.
+
+        The vocabulary's tokens, decoded to bytes, are its ranks: merges in order of ids, as the file's are, give the same ids.
+        """
+        if self._whole is None:
+            import tiktoken
+
+            model = json.loads(self.tokenizer.to_str())["model"]
+            vocab, of = model["vocab"], byte_of_char()
+            merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+            if merged == sorted(merged) and all(c in of for t in vocab if t not in self.special for c in t):
+                ranks = {bytes(of[c] for c in token): i for token, i in vocab.items() if token not in self.special}
+                self._whole = tiktoken.Encoding("whole", pat_str=PIECE.pattern, mergeable_ranks=ranks, special_tokens={})
+            else:
+                self._whole = False
+        return self._whole or None
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, as arrays of ``dtype``."""
-        lists = [self.pieces(t) for t in texts]
-        self.learn(lists)
+        """Ids of each text, as arrays of ``dtype``. Texts that are odd, very long or hold special strings go piece by piece."""
+        whole = self.whole()
+        plain = [bool(whole) and len(t) <= MAX_WHOLE and (t.isascii() or not ODD.search(t)) and not any(s in t for s in self.special) for t in texts]
+        lists = [[] if p else self.pieces(t) for t, p in zip(texts, plain, strict=True)]
+        self.learn([x for x in lists if x])
         get = self.cache.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), self.dtype) for pieces in lists]
+        return [
+            np.asarray(whole.encode_ordinary(t), self.dtype) if p else np.frombuffer(b"".join(map(get, pieces)), self.dtype)
+            for t, p, pieces in zip(texts, plain, lists, strict=True)
+        ]
+
+
+def byte_of_char() -> dict[str, int]:
+    """The byte behind each character of byte-level vocabularies: printable Latin-1 stands for itself, the others follow from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}

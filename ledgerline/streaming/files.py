@@ -15,6 +15,7 @@ def arrivals(spark: SparkSession, path: str, schema, glob: str = "*.parquet") ->
 
 def windowed(stream: DataFrame, time: str, width: str, late: str, by: list[str], aggs: list) -> DataFrame:
     """Aggregates of event-time windows; rows later than the watermark are dropped."""
+    stream = stream.withColumn(time, F.col(time).cast("timestamp"))
     grouped = stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(*aggs)
     return grouped.select(F.col("window.start").alias("window_start"), *by, *[c for c in grouped.columns if c not in ("window", *by)])
 

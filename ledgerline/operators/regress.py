@@ -91,7 +91,7 @@ def specification_grid(panel: DataFrame, outcomes: Sequence[str], signals: Seque
     """Fama-MacBeth of every outcome on every signal with the same controls, as one grouped job in long form."""
     base = panel.select(F.col(date).alias("__d"), *([group] if group else []), *controls, *dict.fromkeys([*outcomes, *signals]))
     cells = [F.struct(F.lit(o).alias("outcome"), F.lit(s).alias("signal_name"), F.col(o).cast("double").alias("y"), F.col(s).cast("double").alias("signal")) for o in outcomes for s in signals]
-    long = base.withColumn("c", F.explode(F.array(*cells))).select(F.trunc("__d", "quarter").alias("quarter"), *([group] if group else []), *controls, "c.*")
+    long = base.withColumn("__cell", F.explode(F.array(*cells))).select(F.trunc("__d", "quarter").alias("quarter"), *([group] if group else []), *controls, "__cell.*")
     long = long.dropna()
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

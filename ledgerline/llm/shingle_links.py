@@ -31,10 +31,10 @@ WIDTH = 5
 BAND = 2  # ratio of a band's ends
 PARTS, MIN_PARTS = 0.42, 16
 SLOTS = 1 << 24  # bits of the filter that tells which documents have a family; one beyond it only costs work
-FLUSH = 2_000_000  # signatures or shingles held by a task
+FLUSH = 1_000_000  # signatures or shingles held by a task
 BUCKET = 250_000  # signatures a bucket
-MIN_LOCAL, COMMON_SETS, MAX_COMMON = 4, 32, 200_000
-UNIT = 4_000_000  # shingles of the sets compared in one task
+MIN_LOCAL, COMMON_SETS, MAX_COMMON = 2, 8, 500_000
+UNIT = 1_000_000  # shingles of the sets compared in one task
 MAX_WORDS_CACHED = 500_000
 SIGN = 1 << 63
 
@@ -70,7 +70,7 @@ class Shingler:
         n = len(words) - WIDTH + 1
         h = w[:n] * _FACTORS[0]
         for i in range(1, WIDTH):
-            h += mix(w[i : n + i] + np.uint64(i)) * _FACTORS[i]
+            h += w[i : n + i] * _FACTORS[i]
         return np.unique(mix(h))
 
 
@@ -166,10 +166,10 @@ def _emit(percent: int, common, buckets: int):
             a, b = forest(a, b)
             cut = np.searchsorted(sig, (np.arange(buckets + 1, dtype=object) * ((1 << 64) // buckets + 1)).clip(max=(1 << 64) - 1).astype(np.uint64))
             cut[-1] = len(sig)
-            rows = [(k, sig[i:j].tobytes(), first[i:j].tobytes()) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
-            if len(a):
-                rows.append((-1, a.tobytes(), b.tobytes()))
-            return pd.DataFrame(rows, columns=["bucket", "left", "right"])
+            rows = [(k, sig[i:j].tobytes(), *_coded(first[i:j])) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+            step = -(-len(a) // buckets)  # edges found here ride along, dealt over the buckets
+            rows += [(k, b"", a[at : at + step].tobytes(), b[at : at + step].tobytes()) for k, at in enumerate(range(0, len(a), max(1, step)))]
+            return pd.DataFrame(rows, columns=["bucket", "sigs", "left", "right"])
 
         for pdf in batches:
             for text in pdf["text"]:
@@ -189,18 +189,26 @@ def _emit(percent: int, common, buckets: int):
     return run
 
 
-def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges among the sets of a bucket that share a signature."""
-    sig = np.frombuffer(b"".join(pdf["left"]), np.uint64)
-    ids = np.frombuffer(b"".join(pdf["right"]), np.int64)
-    a, b = forest(*stars(sig, ids)[2:])
-    return pd.DataFrame({"a": a, "b": b})
+def _coded(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """Distinct ids, and for each place the number of its id: few sets give many signatures."""
+    names, at = np.unique(ids, return_inverse=True)
+    return names.tobytes(), at.astype(np.uint16 if len(names) < 1 << 16 else np.uint32).tobytes()
 
 
-def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for a, b in zip(pdf["left"], pdf["right"], strict=True):
-            yield pd.DataFrame({"a": np.frombuffer(a, np.int64), "b": np.frombuffer(b, np.int64)})
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Edges among the sets of a bucket that share a signature, and the edges that came with it."""
+    sigs, ids, a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, left, right in zip(pdf["sigs"], pdf["left"], pdf["right"], strict=True):
+        if s:
+            sigs.append(np.frombuffer(s, np.uint64))
+            at = np.frombuffer(right, np.uint16 if len(left) < 8 << 16 else np.uint32)
+            ids.append(np.frombuffer(left, np.int64)[at])
+        else:
+            a.append(np.frombuffer(left, np.int64))
+            b.append(np.frombuffer(right, np.int64))
+    x, y = stars(np.concatenate(sigs), np.concatenate(ids))[2:]
+    x, y = forest(np.concatenate([x, *a]), np.concatenate([y, *b]))
+    return pd.DataFrame({"a": x, "b": y})
 
 
 def _sets(slots):
@@ -282,6 +290,18 @@ def _compare(percent: int):
     return run
 
 
+def _most(often: DataFrame) -> DataFrame:
+    """At most ``MAX_COMMON`` ids, by count; a histogram finds the least count, so no task returns more than its share."""
+    level = F.floor(F.log2("n") * 16)
+    left, least = MAX_COMMON, 1 << 20
+    for r in sorted(often.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        least = r["level"]
+    return often.filter(level >= least).select("id")
+
+
 def link_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """Returns ``id_col, n_shingles, component_id``, one row per input row.
 
@@ -296,15 +316,13 @@ def link_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scanned = materialize(texts.mapInPandas(_scan, "doc string, id long, n long, common boolean"), "sets")
     rows = scanned.filter(~F.col("common")).select(F.col("doc").cast(kind).alias("doc"), "id", "n")
     often = scanned.filter("common").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_SETS)
-    common = np.array([r["id"] for r in often.orderBy(F.desc("n"), "id").limit(MAX_COMMON).select("id").collect()], np.int64).view(np.uint64)
+    common = np.array([r["id"] for r in _most(often).collect()], np.int64).view(np.uint64)
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, total * 2 // (5 * BUCKET))
 
     sent = spark.sparkContext.broadcast(np.sort(common))
-    emitted = materialize(texts.select("text").mapInPandas(_emit(percent, sent, buckets), "bucket long, left binary, right binary"), "signatures")
-    met = emitted.filter("bucket >= 0").groupBy("bucket").applyInPandas(_meet, "a long, b long")
-    edges = met.union(emitted.filter("bucket < 0").mapInPandas(_unpack, "a long, b long"))
-    families = components(edges)
+    emitted = texts.select("text").mapInPandas(_emit(percent, sent, buckets), "bucket long, sigs binary, left binary, right binary")
+    families = components(emitted.groupBy("bucket").applyInPandas(_meet, "a long, b long"))
     families = families.union(families.select("component", "component").distinct())
 
     slot = F.pmod(F.xxhash64(F.coalesce(F.col("doc").cast("string"), F.lit(""))), F.lit(SLOTS))

@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, short_batches
 from .components import components, forest
+from .membership import members as slot_members
+from .membership import perhaps, slot, slot_bits
 
 WIDTH = 5
 BAND = 2  # ratio of a band's ends
 PARTS, MIN_PARTS = 0.42, 16
-SLOTS = 1 << 24  # bits of the filter that tells which documents have a family; one beyond it only costs work
 FLUSH = 1_000_000  # signatures or shingles held by a task
 BUCKET = 250_000  # signatures a bucket
 MIN_LOCAL, COMMON_SETS, MAX_COMMON = 2, 8, 500_000
@@ -213,7 +214,7 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _sets(slots):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, member = Shingler(), np.unpackbits(slots.value, bitorder="little").view(bool)
+        shingle, member = Shingler(), slot_members(slots.value)
         for pdf in batches:
             sets = [shingle(t) for t in pdf["text"][member[pdf["slot"].to_numpy(np.int64)]]]
             yield pd.DataFrame({"id": [set_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
@@ -325,16 +326,10 @@ def link_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     families = components(emitted.groupBy("bucket").applyInPandas(_meet, "a long, b long"))
     families = families.union(families.select("component", "component").distinct())
 
-    slot = F.pmod(F.xxhash64(F.coalesce(F.col("doc").cast("string"), F.lit(""))), F.lit(SLOTS))
-    per_set = rows.filter("n > 0").groupBy("id").agg(F.min("doc").alias("least"), F.min(slot).alias("slot"), F.min("n").alias("n"))
+    per_set = rows.filter("n > 0").groupBy("id").agg(F.min("doc").alias("least"), F.min(slot(F.col("doc"))).alias("slot"), F.min("n").alias("n"))
     members = materialize(per_set.join(families, F.col("id") == F.col("vertex")).select("id", "least", "slot", "n", F.col("component").alias("family")), "members")
-    from_one = F.col("slot") + 1  # bitmap functions number bits from 1
-    bits = members.groupBy(F.bitmap_bucket_number(from_one).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(from_one)).alias("bits")).collect()
-    slots = np.zeros(SLOTS // 8, np.uint8)
-    for r in bits:
-        slots[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
     sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / UNIT).alias("blocks"))
-    found = texts.withColumn("slot", slot).select("text", "slot").mapInPandas(_sets(spark.sparkContext.broadcast(slots)), "id long, shingles binary")
+    found = texts.select("text", slot(F.col("doc")).alias("slot")).mapInPandas(_sets(spark.sparkContext.broadcast(slot_bits(members))), "id long, shingles binary")
     sets = found.join(members.join(sizes, "family").select("id", "family", "blocks"), "id")
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     whole = sets.filter("blocks = 1").select("family", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "id", "shingles")
@@ -367,7 +362,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     links = materialize(link_shingles(docs, id_col, text_col, percent), "groups")
     rest = links.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone")).distinct()
     again = links.filter("n_shingles > 0").groupBy(F.col(id_col).alias("twice"), "component_id").count().filter("count > 1").select("twice").distinct()
-    kept = docs.join(rest, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti")
+    listed = materialize(rest.select(F.col("gone").alias("key")).union(again.select("twice")), "listed")
+    clear, unsure = perhaps(docs, F.col(id_col), listed)
+    kept = unsure.join(rest, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti")
     single = kept.join(again, F.col(id_col).eqNullSafe(F.col("twice")), "left_anti")
     repeated = kept.join(again, F.col(id_col).eqNullSafe(F.col("twice")), "left_semi").dropDuplicates([id_col])
-    return single.union(repeated)
+    return clear.union(single).union(repeated)

@@ -78,6 +78,18 @@ def piece_table(texts: DataFrame, path: str) -> DataFrame:
     return materialize(pieces.mapInPandas(_measure(path), "piece string, n long, tokens long"), "pieces")
 
 
+def most_common(pieces: DataFrame) -> DataFrame:
+    """At most ``HEAD`` short pre-tokens, by frequency; a histogram finds the least frequency, so no task returns more than its share."""
+    short = pieces.filter(F.length("piece") <= HEAD_CHARS).withColumn("level", F.floor(F.log2("n") * 16))
+    left, level = HEAD, 1 << 20
+    for r in sorted(short.groupBy("level").count().collect(), key=lambda r: -r["level"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        level = r["level"]
+    return short.filter(F.col("level") >= level).select("piece", "tokens")
+
+
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024) -> DataFrame:
     """Returns ``id_col, n_bytes, n_tokens, over_limit``, one row per input row.
 
@@ -90,8 +102,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     texts = docs.select(F.col(id_col).cast("string").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     pieces = piece_table(texts, tokenizer_path)
-    top = pieces.filter(F.length("piece") <= HEAD_CHARS).orderBy(F.desc("n"), "piece").limit(HEAD)
-    head = spark.sparkContext.broadcast({r["piece"]: r["tokens"] for r in top.select("piece", "tokens").collect()})
+    head = spark.sparkContext.broadcast({r["piece"]: r["tokens"] for r in most_common(pieces).collect()})
     by_doc = texts.mapInPandas(_frequencies(tokenizer_path, head), "doc string, n_bytes long, n_head long, tail array<struct<piece:string,n:long>>")
     by_doc = materialize(by_doc.withColumn("row", F.monotonically_increasing_id()), "frequencies")
     rare = by_doc.select("row", F.explode("tail").alias("t")).select("row", "t.piece", "t.n")

@@ -63,7 +63,7 @@ def match_status(spark, sf):
     """The whole path from filings to reason codes: links, alignment, daily join with a lag gate and required features."""
     daily = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") + 1).cast("int").alias("KYPERMNO"), F.col("l_shipdate").cast("date").alias("CALDT"))
     daily = daily.agg(F.sum("l_quantity").alias("VOL"), F.max(F.when(F.col("l_tax") > 0.02, F.col("l_tax"))).alias("TAX"))
-    spec = links.join_spec("legacy_default", max_lag_days=2, required_features=("TAX",))
+    spec = links.join_spec("next_trading_day", max_lag_days=2, required_features=("TAX",))
     out = links.premerge(_filings(spark, sf), links.align_to(_links(spark, sf), links._schema(spark)), daily, spec)
     return out.select("doc_id", F.col("match_reason_code").alias("code"), text_date("aligned_caldt").alias("aligned"), F.col("daily_lag_days").cast("long").alias("lag"))
 

@@ -40,7 +40,7 @@ def test_link_reasons(spark):
 def test_premerge_codes(spark):
     f = spark.createDataFrame([("a", "1", D(2020, 1, 2)), ("b", "1", D(2020, 1, 9)), ("c", "1", D(2020, 3, 1)), ("x", "9", D(2020, 1, 2))], "doc_id string, cik_10 string, filing_date date")
     daily = spark.createDataFrame([(100, D(2020, 1, 3), 1.0), (100, D(2020, 1, 10), None), (100, D(2020, 2, 10), 2.0)], "KYPERMNO int, CALDT date, RET double")
-    spec = links.join_spec("legacy_default", required_features=("RET",))
+    spec = links.join_spec("next_trading_day", required_features=("RET",))
     got = {r["doc_id"]: r["match_reason_code"] for r in links.premerge(f, spark.createDataFrame([link()], LINKS), daily, spec).collect()}
     assert got == {"a": "OK", "b": "REQUIRED_DAILY_FEATURE_MISSING", "c": "OUT_OF_CCM_COVERAGE", "x": "CIK_NOT_IN_LINK_UNIVERSE"}
     with pytest.raises(ValueError, match="alignment"):

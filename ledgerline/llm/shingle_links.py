@@ -32,10 +32,10 @@ from .membership import perhaps, slot, slot_bits
 WIDTH = 5
 BAND = 2  # ratio of a band's ends
 PARTS, MIN_PARTS = 0.42, 16
-FLUSH = 1_000_000  # signatures or shingles held by a task
+FLUSH, COUNTED = 1_000_000, 4_000_000  # signatures and shingles held by a task
 BUCKET = 250_000  # signatures a bucket
-MIN_LOCAL, COMMON_SETS, MAX_COMMON = 2, 8, 500_000
-UNIT = 1_000_000  # shingles of the sets compared in one task
+MIN_LOCAL, COMMON_SETS, MAX_COMMON = 2, 4, 1_000_000
+UNIT = 2_000_000  # shingles of the sets compared in one task
 MAX_WORDS_CACHED = 500_000
 SIGN = 1 << 63
 
@@ -103,7 +103,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 held.append(s)
                 size += len(s)
         yield pd.DataFrame({"doc": pdf["doc"], "id": ids, "n": sizes, "common": False})
-        if size > FLUSH:
+        if size > COUNTED:
             yield common()
             held, size, seen = [], 0, set()
     if held:
@@ -317,7 +317,7 @@ def link_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     scanned = materialize(texts.mapInPandas(_scan, "doc string, id long, n long, common boolean"), "sets")
     rows = scanned.filter(~F.col("common")).select(F.col("doc").cast(kind).alias("doc"), "id", "n")
     often = scanned.filter("common").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_SETS)
-    common = np.array([r["id"] for r in _most(often).collect()], np.int64).view(np.uint64)
+    common = _most(often).toArrow().column("id").to_numpy().astype(np.int64).view(np.uint64)
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(8, total * 2 // (5 * BUCKET))
 

@@ -9,7 +9,7 @@ prefix principle the first ``k + 1`` of each set suffice: similar sets of a band
 band too if a partner can lie there. Signatures made only of very common shingles come last in the order; which shingles
 count as common only shifts work, never results.
 
-Sets that share a signature form candidate families (connected components of signature stars, found without pairs). A family's
+Sets that share a signature and whose sizes allow a link form candidate families (components of chains by size, found without pairs). A family's
 sets are then compared exactly in one place: rare shingles first, again by prefixes, and sets that are already connected are
 not compared. Families beyond ``UNIT`` shingles are dealt out as pairs of blocks.
 """
@@ -31,10 +31,11 @@ from .membership import perhaps, slot, slot_bits
 
 WIDTH = 5
 BAND = 2  # ratio of a band's ends
-PARTS, MIN_PARTS = 0.42, 16
+PARTS, MIN_PARTS = 0.38, 16
 FLUSH, COUNTED = 1_000_000, 4_000_000  # signatures and shingles held by a task
 BUCKET = 250_000  # signatures a bucket
 MIN_LOCAL, COMMON_SETS, MAX_COMMON = 2, 4, 1_000_000
+LARGE = 8  # entries of a signature beyond which a task thins them
 UNIT = 2_000_000  # shingles of the sets compared in one task
 MAX_WORDS_CACHED = 500_000
 SIGN = 1 << 63
@@ -145,14 +146,27 @@ def signatures(s: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def stars(sig: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One (signature, least id) for each signature, and edges from its other ids to that."""
-    order = np.lexsort((ids, sig))
-    sig, ids = sig[order], ids[order]
-    first = np.r_[True, sig[1:] != sig[:-1]] if len(sig) else np.zeros(0, bool)
-    least = ids[first][np.cumsum(first) - 1] if len(sig) else ids
-    apart = ids != least
-    return sig[first], ids[first], ids[apart], least[apart]
+def chains(sig: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges that connect the ids of a signature whose sizes allow a link, and which entries later ones still have to meet.
+
+    In order of size, neighbours whose sizes allow a link connect all pairs whose sizes do. An entry between two others that
+    are that close is of no further use: whatever it could meet, they meet too.
+    """
+    order = np.lexsort((sizes, sig))
+    sig, ids, sizes = sig[order], ids[order], sizes[order]
+    near = (sig[1:] == sig[:-1]) & (sizes[:-1] * 100 >= sizes[1:] * percent)
+    keep = np.ones(len(sig), bool)
+    bounds = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True]) if len(sig) else np.zeros(0, np.int64)
+    for k in np.flatnonzero(np.diff(bounds) > LARGE):
+        last = bounds[k]
+        for i in range(bounds[k] + 1, bounds[k + 1] - 1):
+            if sizes[last] * 100 >= sizes[i + 1] * percent:
+                keep[i] = False
+            else:
+                last = i
+    kept = np.zeros(len(sig), bool)
+    kept[order] = keep
+    return ids[1:][near], ids[:-1][near], kept
 
 
 def _emit(percent: int, common, buckets: int):
@@ -160,14 +174,18 @@ def _emit(percent: int, common, buckets: int):
         shingle, known, seen = Shingler(), common.value, set()
         sigs: list[np.ndarray] = []
         ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         size = 0
 
         def out() -> pd.DataFrame:
-            sig, first, a, b = stars(np.concatenate(sigs), np.concatenate(ids))
+            sig, first, big = np.concatenate(sigs), np.concatenate(ids), np.concatenate(sizes)
+            a, b, kept = chains(sig, first, big, percent)
             a, b = forest(a, b)
+            order = np.flatnonzero(kept)[np.argsort(sig[kept], kind="stable")]
+            sig, first, big = sig[order], first[order], big[order]
             cut = np.searchsorted(sig, (np.arange(buckets + 1, dtype=object) * ((1 << 64) // buckets + 1)).clip(max=(1 << 64) - 1).astype(np.uint64))
             cut[-1] = len(sig)
-            rows = [(k, sig[i:j].tobytes(), *_coded(first[i:j])) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+            rows = [(k, sig[i:j].tobytes(), *_coded(first[i:j], big[i:j])) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
             step = -(-len(a) // buckets)  # edges found here ride along, dealt over the buckets
             rows += [(k, b"", a[at : at + step].tobytes(), b[at : at + step].tobytes()) for k, at in enumerate(range(0, len(a), max(1, step)))]
             return pd.DataFrame(rows, columns=["bucket", "sigs", "left", "right"])
@@ -180,36 +198,44 @@ def _emit(percent: int, common, buckets: int):
                 seen.add(own)
                 sigs.append(signatures(s, percent, known))
                 ids.append(np.full(len(sigs[-1]), own, np.int64))
+                sizes.append(np.full(len(sigs[-1]), len(s), np.int64))
                 size += len(sigs[-1])
             if size > FLUSH:
                 yield out()
-                sigs, ids, size, seen = [], [], 0, set()
+                sigs, ids, sizes, size, seen = [], [], [], 0, set()
         if sigs:
             yield out()
 
     return run
 
 
-def _coded(ids: np.ndarray) -> tuple[bytes, bytes]:
-    """Distinct ids, and for each place the number of its id: few sets give many signatures."""
-    names, at = np.unique(ids, return_inverse=True)
-    return names.tobytes(), at.astype(np.uint16 if len(names) < 1 << 16 else np.uint32).tobytes()
+def _coded(ids: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
+    """Distinct ids with their sizes, and for each place the number of its id: few sets give many signatures."""
+    names, first, at = np.unique(ids, return_index=True, return_inverse=True)
+    return names.tobytes() + sizes[first].tobytes(), at.astype(np.uint16 if len(names) < 1 << 16 else np.uint32).tobytes()
 
 
-def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+def _meet(percent: int):
     """Edges among the sets of a bucket that share a signature, and the edges that came with it."""
-    sigs, ids, a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for s, left, right in zip(pdf["sigs"], pdf["left"], pdf["right"], strict=True):
-        if s:
-            sigs.append(np.frombuffer(s, np.uint64))
-            at = np.frombuffer(right, np.uint16 if len(left) < 8 << 16 else np.uint32)
-            ids.append(np.frombuffer(left, np.int64)[at])
-        else:
-            a.append(np.frombuffer(left, np.int64))
-            b.append(np.frombuffer(right, np.int64))
-    x, y = stars(np.concatenate(sigs), np.concatenate(ids))[2:]
-    x, y = forest(np.concatenate([x, *a]), np.concatenate([y, *b]))
-    return pd.DataFrame({"a": x, "b": y})
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        none = np.zeros(0, np.int64)
+        sigs, ids, sizes, a, b = [np.zeros(0, np.uint64)], [none], [none], [none], [none]
+        for s, left, right in zip(pdf["sigs"], pdf["left"], pdf["right"], strict=True):
+            if s:
+                names, big = np.frombuffer(left, np.int64).reshape(2, -1)
+                at = np.frombuffer(right, np.uint16 if len(names) < 1 << 16 else np.uint32)
+                sigs.append(np.frombuffer(s, np.uint64))
+                ids.append(names[at])
+                sizes.append(big[at])
+            else:
+                a.append(np.frombuffer(left, np.int64))
+                b.append(np.frombuffer(right, np.int64))
+        x, y, _ = chains(np.concatenate(sigs), np.concatenate(ids), np.concatenate(sizes), percent)
+        x, y = forest(np.concatenate([x, *a]), np.concatenate([y, *b]))
+        return pd.DataFrame({"a": x, "b": y})
+
+    return run
 
 
 def _sets(slots):
@@ -323,7 +349,7 @@ def link_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     sent = spark.sparkContext.broadcast(np.sort(common))
     emitted = texts.select("text").mapInPandas(_emit(percent, sent, buckets), "bucket long, sigs binary, left binary, right binary")
-    families = components(emitted.groupBy("bucket").applyInPandas(_meet, "a long, b long"))
+    families = components(emitted.groupBy("bucket").applyInPandas(_meet(percent), "a long, b long"))
     families = families.union(families.select("component", "component").distinct())
 
     per_set = rows.filter("n > 0").groupBy("id").agg(F.min("doc").alias("least"), F.min(slot(F.col("doc"))).alias("slot"), F.min("n").alias("n"))

@@ -217,6 +217,34 @@ def test_shingle_links_when_everything_is_common(spark, monkeypatch):
     assert sorted(map(tuple, shingle_links.link_shingles(frame(spark, rows)).collect()), key=repr) == brute_links(rows)
 
 
+def test_chains_connect_what_sizes_allow(monkeypatch):
+    rng = np.random.default_rng(11)
+    for large in (1, 8):
+        monkeypatch.setattr(shingle_links, "LARGE", large)
+        for _ in range(50):
+            n = int(rng.integers(1, 40))
+            sig, ids, sizes = rng.integers(0, 3, n).astype(np.uint64), np.arange(n), rng.integers(10, 60, n)
+            half = rng.random(n) < 0.5
+            edges, rest = [], []
+            for part in (half, ~half):  # two tasks, then a bucket
+                a, b, kept = shingle_links.chains(sig[part], ids[part], sizes[part], 75)
+                edges += list(zip(a.tolist(), b.tolist(), strict=True))
+                rest += ids[part][kept].tolist()
+            a, b, _ = shingle_links.chains(sig[rest], ids[rest], sizes[rest], 75)
+            root = list(range(n))
+
+            def join(pairs, root):
+                for x, y in pairs:
+                    x, y = root[x], root[y]
+                    root = [y if r == x else r for r in root]
+                return root
+
+            got = join([*edges, *zip(a.tolist(), b.tolist(), strict=True)], root)
+            want = join([(i, j) for i in range(n) for j in range(i) if sig[i] == sig[j] and min(sizes[i], sizes[j]) * 100 >= 75 * max(sizes[i], sizes[j])], root)
+            same = lambda r: [[r[i] == r[j] for j in range(n)] for i in range(n)]
+            assert same(got) == same(want)
+
+
 def test_keep_one(spark, texts):
     rows = near_copies() + [((i or 0) + 1000 if i else i, t, s) for i, t, s in texts]
     kept = [r["doc_id"] for r in shingle_links.keep_one(frame(spark, rows)).collect()]

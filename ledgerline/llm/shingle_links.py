@@ -34,10 +34,10 @@ BAND = 2  # ratio of a band's ends
 PARTS, MIN_PARTS = 0.38, 16
 FLUSH, COUNTED = 1_000_000, 4_000_000  # signatures and shingles held by a task
 BUCKET = 250_000  # signatures a bucket
-MIN_LOCAL, COMMON_SETS, MAX_COMMON = 2, 4, 1_000_000
+COMMON_SETS, MAX_COMMON = 4, 1_000_000
 LARGE = 8  # entries of a signature beyond which a task thins them
-UNIT = 2_000_000  # shingles of the sets compared in one task
-MAX_WORDS_CACHED = 500_000
+UNIT = 1_000_000  # shingles of the sets compared in one task
+MAX_WORDS_CACHED = 200_000
 SIGN = 1 << 63
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -85,13 +85,15 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row per document (its set's id and size), and a row per shingle that is common among this task's distinct sets."""
+    """A row per document (its set's id and size), and a row per shingle that several of this task's distinct sets hold."""
     shingle, seen, held, size = Shingler(), set(), [], 0
 
     def common() -> pd.DataFrame:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= MIN_LOCAL
-        return pd.DataFrame({"doc": None, "id": _signed(values[often]), "n": counts[often], "common": True})
+        shingles = np.concatenate(held)
+        held.clear()
+        shingles.sort()  # in place: a task holds them once
+        values, counts = np.unique(shingles[1:][shingles[1:] == shingles[:-1]], return_counts=True)
+        return pd.DataFrame({"doc": None, "id": _signed(values), "n": counts + 1, "common": True})
 
     for pdf in batches:
         ids, sizes = [], []
@@ -106,7 +108,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc": pdf["doc"], "id": ids, "n": sizes, "common": False})
         if size > COUNTED:
             yield common()
-            held, size, seen = [], 0, set()
+            size, seen = 0, set()
     if held:
         yield common()
 

@@ -211,7 +211,6 @@ def test_shingle_links(spark, texts, monkeypatch, unit):
 
 
 def test_shingle_links_when_everything_is_common(spark, monkeypatch):
-    monkeypatch.setattr(shingle_links, "MIN_LOCAL", 1)
     monkeypatch.setattr(shingle_links, "COMMON_SETS", 1)
     rows = near_copies()
     assert sorted(map(tuple, shingle_links.link_shingles(frame(spark, rows)).collect()), key=repr) == brute_links(rows)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, short_batches
+from .common import materialize, release_memory, short_batches
 from .components import components, forest
 from .membership import members as slot_members
 from .membership import perhaps, slot, slot_bits
@@ -32,7 +32,7 @@ from .membership import perhaps, slot, slot_bits
 WIDTH = 5
 BAND = 2  # ratio of a band's ends
 PARTS, MIN_PARTS = 0.38, 16
-FLUSH, COUNTED = 1_000_000, 4_000_000  # signatures and shingles held by a task
+FLUSH, COUNTED = 600_000, 4_000_000  # signatures and shingles held by a task
 BUCKET = 250_000  # signatures a bucket
 COMMON_SETS, MAX_COMMON = 4, 1_000_000
 LARGE = 8  # entries of a signature beyond which a task thins them
@@ -111,6 +111,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             size, seen = 0, set()
     if held:
         yield common()
+    release_memory()
 
 
 def bands(s: int, percent: int) -> list[tuple[int, int]]:
@@ -207,6 +208,8 @@ def _emit(percent: int, common, buckets: int):
                 sigs, ids, sizes, size, seen = [], [], [], 0, set()
         if sigs:
             yield out()
+        sigs, ids, sizes = [], [], []
+        release_memory()
 
     return run
 
@@ -235,6 +238,7 @@ def _meet(percent: int):
                 b.append(np.frombuffer(right, np.int64))
         x, y, _ = chains(np.concatenate(sigs), np.concatenate(ids), np.concatenate(sizes), percent)
         x, y = forest(np.concatenate([x, *a]), np.concatenate([y, *b]))
+        release_memory()
         return pd.DataFrame({"a": x, "b": y})
 
     return run
@@ -246,6 +250,7 @@ def _sets(slots):
         for pdf in batches:
             sets = [shingle(t) for t in pdf["text"][member[pdf["slot"].to_numpy(np.int64)]]]
             yield pd.DataFrame({"id": [set_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
+        release_memory()
 
     return run
 

@@ -287,7 +287,7 @@ SELECT k, a AS member, min(r) AS root FROM c GROUP BY 1, 2
 """)
 def alias_components(spark, sf):
     """Connected groups of identifiers within each security."""
-    e = table(spark, sf, "lineitem").filter("l_suppkey < 40 and l_linenumber = 1 and l_quantity < 4")
+    e = table(spark, sf, "lineitem")
     e = e.select(F.col("l_suppkey").alias("KYPERMNO"), (F.col("l_partkey") % 20).alias("a"), ((F.col("l_partkey") * 3 + F.col("l_linenumber")) % 20).alias("b")).distinct()
     nodes = e.select("KYPERMNO", F.col("a").alias("ric")).unionByName(e.select("KYPERMNO", F.col("b").alias("ric")))
     return enrich.alias_groups(nodes, e).select(F.col("KYPERMNO").alias("k"), F.col("ric").alias("member"), F.col("canonical_ric").alias("root"))

@@ -281,6 +281,15 @@ def test_secrets(spark):
     assert masked[6]["text"].endswith("ef [SECRET]") and masked[3]["text"] == rows[2][1]
 
 
+def test_secrets_of_one_owner_in_several_documents(spark):
+    key, shared = "aB3dE5fG7hI9jK1lM3nO5pQ", "zY8xW6vU4tS2rQ0pO9nM7lK"
+    rows = [(1, f"key {key}", "a"), (2, f"key {key}", "a"), (3, f"again {key} end", "a"), (4, f"key {shared}", "a"), (5, f"key {shared}", "b")]
+    got = {r["doc_id"]: (r["spans"], r["n_owner"], r["n_live"]) for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    assert got == {1: ("owner:4:27", 1, 1), 2: ("owner:4:27", 1, 1), 3: ("owner:6:29", 1, 1), 4: ("", 0, 0), 5: ("", 0, 0)}
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(frame(spark, rows)).collect()}
+    assert masked == {1: "key [SECRET]", 2: "key [SECRET]", 3: "again [SECRET] end", 4: rows[3][1], 5: rows[4][1]}
+
+
 def test_quality(spark):
     good = [(i, " ".join(f"Word{(i * k) % 97} and the others." for k in range(20)), "a") for i in range(60)]
     bad = [(100 + i, " ".join(["SPAM!!"] * (20 + i)), "a") for i in range(40)]

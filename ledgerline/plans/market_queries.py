@@ -140,15 +140,16 @@ w AS (SELECT e.doc_id, CAST(c2.i - c1.i AS INTEGER) AS rel, d.r, d.v, d.day FROM
 """
 
 
-def _event_docs(spark):
-    return spark.range(200).select(F.col("id").alias("doc_id"), (F.col("id") % 50).alias("KYPERMNO"), F.date_add(F.to_date(F.lit("2024-01-08")), (F.col("id") % 12).cast("int")).alias("filing_trade_date"))
+def _event_docs(spark, sf):
+    """Every event as a filing of its security on its day; the daily rows come from the same table, so that day is a trading day."""
+    return table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), (F.col("user_id") % 50).alias("KYPERMNO"), F.to_date("ts").alias("filing_trade_date"))
 
 
 @query(_EVENT_SQL + "SELECT doc_id, rel AS relative_day, round(r, 8) AS ret FROM w")
 def event_window_range_join(spark, sf):
     """Daily rows of -6 to 9 trading days around events, by an equi-join on window-wide buckets."""
     daily = _daily(spark, sf)
-    rows = events.window_rows(_event_docs(spark), daily, asof.trading_calendar(daily, "CALDT"), -6, 9, columns=("RET",))
+    rows = events.window_rows(_event_docs(spark, sf), daily, asof.trading_calendar(daily, "CALDT"), -6, 9, columns=("RET",))
     return rows.select("doc_id", "relative_day", rounded("RET", 8).alias("ret"))
 
 
@@ -158,7 +159,7 @@ round((avg(v) FILTER (WHERE rel BETWEEN 0 AND 3) - avg(v) FILTER (WHERE rel BETW
 def compounded_excess_return(spark, sf):
     """Compounded return over the event less the market's, and abnormal volume against the days before."""
     daily = _daily(spark, sf)
-    rows = events.window_rows(_event_docs(spark), daily, asof.trading_calendar(daily, "CALDT"), -6, 9, columns=("RET", "VOL"))
+    rows = events.window_rows(_event_docs(spark, sf), daily, asof.trading_calendar(daily, "CALDT"), -6, 9, columns=("RET", "VOL"))
     m = _factors(spark, sf).select(F.col("trading_date").alias("CALDT"), (F.col("mkt_rf") + F.col("rf")).alias("mk"))
     d = F.col("relative_day")
     inside, before = d.between(0, 3), d.between(-6, -1)
@@ -187,7 +188,7 @@ def ols_market_model(spark, sf):
 def ols_ff3_moments(spark, sf):
     """Three-factor models around events: alpha before, residual deviation after."""
     daily = _daily(spark, sf)
-    docs = _event_docs(spark)
+    docs = _event_docs(spark, sf)
     rows = events.window_rows(docs, daily, asof.trading_calendar(daily, "CALDT"), -6, 25, columns=("RET",))
     f = events.scaled_factors(_factors(spark, sf)).withColumnRenamed("trading_date", "CALDT")
     rows = rows.join(F.broadcast(f), "CALDT")

@@ -4,6 +4,9 @@ A page is cut into blocks at block-level tags. Pass one decides blocks by struct
 out), link density, length and stop-word density; short or unclear blocks stay open. Pass two gives every open block the
 label of its nearest decided neighbour of the same container; where both are equally near and differ, and where no
 neighbour is decided, the container decides: in an article block stays, elsewhere it goes.
+
+Class and id names are only hints: a name that marks an element as out counts after the whole page is read, and not where the
+element holds the main element, or most of the text or of the articles.
 """
 
 from __future__ import annotations
@@ -21,12 +24,13 @@ from .common import short_batches
 
 #: Tag names of the HTML standard by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "textarea", "select", "title", "xmp", "noembed", "noframes")
+RAW = ("script", "style", "noscript", "template", "svg", "annotation", "annotation-xml", "iframe", "canvas", "textarea", "select", "title", "xmp", "noembed", "noframes")
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td"
     " tfoot th thead tr ul".split()
 )
+TO_THE_END = ("script", "style")  # of RAW, those that run to the end of the page when unclosed
 OUT = frozenset("nav footer aside form menu dialog head button fieldset search".split())
 CLOSES_P = BLOCK - {"html", "body", "head", "option"}
 ROLES_OUT = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
@@ -58,6 +62,9 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 SPACE = re.compile(r"\s+")
 WORDS = re.compile(r"\w+")
 
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: A name does not count on an element with more than this share of the text around it; names of comments, related pages and advertisements need more.
+MOST, MOST_ARTICLE = 0.5, 0.8
 LONG_LINKS, SHORT_WORDS, LONG_WORDS = 0.5, 6, 12
 STOP_LOW, STOP_HIGH = 0.12, 0.25
 
@@ -70,6 +77,14 @@ class Block:
     heading: bool
     link_chars: int
     label: str = "open"
+    named: tuple[int, ...] = ()  # elements around it whose name marks them as out
+
+
+@dataclass
+class _Named:
+    container: int
+    most: float
+    holds_main: bool = False
 
 
 @dataclass
@@ -78,6 +93,7 @@ class _Open:
     out: bool
     container: int
     link: bool
+    named: tuple[int, ...] = ()
 
 
 @dataclass
@@ -89,6 +105,7 @@ class _Page:
     heading: bool = False
     breaks: int = 0
     containers: int = 0
+    named: list[_Named] = field(default_factory=list)
 
     def top(self) -> _Open:
         return self.stack[-1] if self.stack else _Open("", False, 0, False)
@@ -105,7 +122,7 @@ class _Page:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             at = self.top()
-            self.blocks.append(Block(text, at.container, at.out, self.heading, self.link_chars))
+            self.blocks.append(Block(text, at.container, at.out, self.heading, self.link_chars, named=at.named))
         self.parts, self.link_chars, self.breaks = [], 0, 0
 
     def open(self, tag: str, attributes: str) -> None:
@@ -114,18 +131,46 @@ class _Page:
         names = f"{found.get('class', '')} {found.get('id', '')}"
         role = found.get("role", "").strip().lower()
         out = at.out or tag in OUT or role in ROLES_OUT or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        if names.strip() and tag not in ("html", "body", "main"):
-            out = out or bool((NAMES_OUT_ARTICLE if tag == "article" else NAMES_OUT).search(names))
-        header = tag == "header" or tag in ("div", "section", "table") and bool(NAMES_HEADER.search(names))
-        out = out or header and not at.container
+        out = out or tag == "header" and not at.container
+        named = at.named
+        if not out and names.strip() and tag not in ("html", "body", "main"):
+            marks = found.get("class", "") if at.container and tag in (*HEADINGS, "section") else names
+            of_article = bool(NAMES_OUT_ARTICLE.search(marks))
+            header = tag in ("div", "section", "table") and not at.container and bool(NAMES_HEADER.search(names))
+            if of_article or header or tag != "article" and NAMES_OUT.search(marks):
+                named = (*named, len(self.named))
+                self.named.append(_Named(at.container, MOST_ARTICLE if of_article else MOST))
         container = at.container
+        if not out and (tag == "main" or role == "main"):
+            for i in at.named:
+                self.named[i].holds_main = True
         if not container and not out and (tag in ("article", "main") or role in ("article", "main")):
             self.containers += 1
             container = self.containers
         elif not container and not out and tag in ("div", "section", "td") and names.strip() and NAMES_MAIN.search(names):
             self.containers += 1
             container = -self.containers  # a hint only
-        self.stack.append(_Open(tag, out, container, at.link or tag == "a"))
+        self.stack.append(_Open(tag, out, container, at.link or tag == "a", named))
+
+    def settle(self) -> None:
+        """Puts blocks out by the names of elements around them, where those names count."""
+        texts = [0 if b.out else len(b.text) - b.link_chars for b in self.blocks]
+        page, articles, inside, held, held_articles = 0, 0, {}, [0] * len(self.named), [0] * len(self.named)
+        for b, n in zip(self.blocks, texts, strict=True):
+            page += n
+            articles += n * (b.container > 0)
+            inside[b.container] = inside.get(b.container, 0) + n
+            for i in b.named:
+                held[i] += n
+                held_articles[i] += n * (b.container > 0)
+        counts = []
+        for e, n, m in zip(self.named, held, held_articles, strict=True):
+            most = n > e.most * (inside.get(e.container, 0) if e.container else page)
+            # articles below comments or related pages are those themselves
+            most = most or not e.container and e.most == MOST and m > MOST * articles
+            counts.append(not (e.holds_main or most))
+        for b in self.blocks:
+            b.out = b.out or any(counts[i] for i in b.named)
 
     def close(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -148,7 +193,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag in RAW and not end:
             if not m[3].rstrip().endswith("/"):
                 stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
+                at = stop.end() if stop else len(page) if tag in TO_THE_END else at
             if tag in ("title", "iframe", "select", "textarea"):
                 p.flush()
             continue
@@ -173,11 +218,12 @@ def blocks_of(page: str) -> list[Block]:
                     if p.stack[i].tag in BLOCK:
                         break
             if tag in BLOCK:
-                p.heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
+                p.heading = tag in HEADINGS
             if not m[3].rstrip().endswith("/") or tag in BLOCK or tag == "a":
                 p.open(tag, m[3])
     p.add(UNFINISHED.sub("", page[at:]))
     p.flush()
+    p.settle()
     return p.blocks
 
 

@@ -115,6 +115,36 @@ def test_html():
         assert isinstance(html_text.main_text(odd), str)
 
 
+PROSE = "It was the best of the times and it was the worst of them for all of us. "
+
+
+@pytest.mark.parametrize("around", ["<div class='wrapper sidebar-right'>{}</div>", "<div id='page' class='nav-open'>{}</div>", "<div class='layout header-fixed'>{}</div>", "<div class='site menu-left'><div class='row has-tags search'>{}</div></div>"])
+@pytest.mark.parametrize("body", ["<article><p>{0}</p><p>{0}</p></article>", "<main><p>{0}</p><p>{0}</p></main>", "<p>{0}</p><p>{0}</p>"])
+def test_html_names_around_the_article(around, body):
+    side = "<div class='sidebar'><p>This is what the others have read and it is not of the text.</p></div>"
+    page = "<body>" + around.format(body.format(PROSE * 4)) + side + "</body>"
+    assert html_text.main_text(page).split("\n") == [(PROSE * 4).strip()] * 2
+
+
+def test_html_names_inside_the_article():
+    related = "<div class='related'><article><p>You will want to read this one of the others as well.</p></article></div>"
+    page = f"<article><h2 id='Legal_status'>Legal status</h2><p>{PROSE}</p><section id='Search_methods'><h3>Methods</h3><p>{PROSE}</p></section><div class='share'>Share this with all of the friends you have</div></article>{related}"
+    assert html_text.main_text(page).split("\n") == ["Legal status", PROSE.strip(), "Methods", PROSE.strip()]
+    long = f"<main><p>{PROSE}</p><div id='comments'><p>{PROSE * 2}</p></div></main>"
+    assert html_text.main_text(long) == PROSE.strip()
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "noscript", "object", "select", "iframe"])
+def test_html_unclosed_raw_tags(tag):
+    assert PROSE.strip() in html_text.main_text(f"<article><p>First of all.</p><{tag}><p>{PROSE}</p></article>")
+    assert PROSE.strip() not in html_text.main_text(f"<article><p>First of all.</p><script><p>{PROSE}</p></article>")
+
+
+def test_html_keeps_math_and_object_text():
+    page = f"<article><p>{PROSE} So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> is it.</p><object data='a'><p>{PROSE}</p></object></article>"
+    assert html_text.main_text(page).split("\n") == [f"{PROSE} So x=2 is it.".replace("  ", " "), PROSE.strip()]
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>It is a text of the house.</p></article>", 5), (None, None, None, 5), (1, "u", "", 5)], "page_id long, url string, html string, n_chars long")
     assert sorted(map(tuple, html_text.extract_main_text(df).collect()), key=repr) == sorted([(1, "u", "It is a text of the house.", 26), (None, None, "", 0), (1, "u", "", 0)], key=repr)

@@ -189,12 +189,17 @@ class WarcReader(DataSourceReader):
                 return False
         return True
 
+    @staticmethod
+    def of_http(head: dict) -> bool:
+        return head.get("content-type", "").startswith("application/http") and head.get("warc-type") in ("response", "revisit", "request")
+
     def row(self, head: dict, block: bytes) -> dict:
         kind, http, _ = head.get("warc-type"), *block.partition(b"\r\n\r\n")[::2]
-        of_http = head.get("content-type", "").startswith("application/http") and kind in ("response", "revisit", "request")
+        of_http = self.of_http(head)
         payload = block[len(http) + 4 :] if of_http else block
         digest = (head.get("warc-payload-digest") or "").removeprefix("sha1:") or None
-        length = next((int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length"), len(payload)) if of_http else len(payload)
+        rest = int(head.get("content-length", 0)) - (len(http) + 4 if of_http else 0)  # the block may be its first bytes only
+        length = next((int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.strip().lower() == b"content-length"), max(rest, 0)) if of_http else rest
         whole = "payload" in self.columns and kind != "revisit"
         if whole and digest and base32_sha1(payload) != digest:
             raise ValueError(f"payload of {head.get('warc-record-id')} does not match its digest")
@@ -203,6 +208,7 @@ class WarcReader(DataSourceReader):
 
     def records(self, stream: _Stream, end: int) -> Iterator[dict]:
         whole = "payload" in self.columns
+        sized = "payload_length" in self.columns  # needs the whole HTTP head
         while end < 0 or stream.at < end:
             first = stream.peek(24)
             if not first:
@@ -231,7 +237,8 @@ class WarcReader(DataSourceReader):
                     found = _head(data)
                 keep = found is not None and self.passes(found[0])
                 need = found[1] + int(found[0].get("content-length", 0)) if keep else 0
-                if keep and len(data) < need and (whole or found[0].get("warc-type") == "revisit"):
+                cut = keep and sized and self.of_http(found[0]) and b"\r\n\r\n" not in data[found[1] : need]
+                if keep and len(data) < need and (whole or cut or found[0].get("warc-type") == "revisit"):
                     data = more()
                 if keep:
                     yield self.row(found[0], data[found[1] : need])
@@ -247,8 +254,10 @@ class WarcReader(DataSourceReader):
                 blank = len(stream.peek(n)) - len(stream.peek(n).lstrip(b"\r\n"))
                 size = int(found[0].get("content-length", 0))
                 if self.passes(found[0]):
-                    take = blank + found[1] + (size if whole else min(size, HEAD_BYTES))
-                    yield self.row(found[0], stream.peek(take)[blank + found[1] :])
+                    start, n = blank + found[1], size if whole else min(size, HEAD_BYTES)
+                    while n < size and sized and self.of_http(found[0]) and b"\r\n\r\n" not in stream.peek(start + n)[start : start + n]:
+                        n = min(size, n * 2)
+                    yield self.row(found[0], stream.peek(start + n)[start : start + n])
                 stream.skip(blank + found[1] + size)
                 while (rest := stream.peek(4)) and rest[:1] in b"\r\n":
                     stream.skip(len(rest) - len(rest.lstrip(b"\r\n")))

@@ -416,3 +416,21 @@ def test_warc_reads_other_archives_and_pushes_filters(spark, tmp_path):
         (tmp_path / "bad").mkdir()
         (tmp_path / "bad/c.warc").write_bytes(record(b"resource", 1, b"abc").replace(b"Content-Length", b"WARC-Payload-Digest: sha1:AAAA\r\nContent-Length"))
         spark.read.format("warc").load(f"file://{tmp_path}/bad").collect()
+
+
+def test_warc_payload_length_without_the_payload(spark, tmp_path):
+    import gzip
+
+    noise = np.random.default_rng(1).bytes(200_000)
+    fill = b"".join(b"X-%d: %s\r\n" % (i, noise[i * 50 : i * 50 + 50].hex().encode()) for i in range(300))  # a head beyond one piece
+    http = lambda head: b"HTTP/1.1 200 OK\r\n" + head + b"\r\n" + noise[:50_000]
+    bodies = [(b"resource", b"text/plain", noise, 200_000), (b"metadata", b"text/plain", noise[:9000], 9000), (b"warcinfo", b"text/plain", b"info", 4)]
+    bodies += [(b"response", b"application/http", http(head), 50_000) for head in (b"A: b\r\n", b"Content-Length: 50000\r\n", fill, fill + b"Content-Length: 50000\r\n")]
+    records = [b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:x:%d>\r\nContent-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, i, t, len(b), b) for i, (k, t, b, _) in enumerate(bodies)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "b.warc").write_bytes(b"".join(records))
+    warc.register(spark)
+    want = sorted((f"<urn:x:{i}>", n) for i, (*_, n) in enumerate(bodies) for _ in range(2))
+    for more in ("", ", payload binary"):
+        rows = spark.read.format("warc").schema(f"record_id string, payload_length long{more}").load(f"file://{tmp_path}").collect()
+        assert sorted((r["record_id"], r["payload_length"]) for r in rows) == want

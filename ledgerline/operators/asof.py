@@ -100,11 +100,14 @@ def calendar_lookup(calendar: DataFrame, margin_days: int = 400) -> DataFrame:
 
 def align_to_calendar(df: DataFrame, date: str, calendar: DataFrame, mode: str = "exact_or_next") -> DataFrame:
     """Adds ``aligned_day``: strict_next, exact_or_next, exact or previous; the calendar is one row a day, so it is broadcast."""
-    lookup = calendar_lookup(calendar).withColumnRenamed("date", "__date")
+    lookup = calendar_lookup(calendar, 0).withColumnRenamed("date", "__date")
+    bounds = calendar.agg(F.min("day").alias("__lo"), F.max("day").alias("__hi"))
     anchor = F.col(date).cast("date")
     key = F.date_add(anchor, 1) if mode == "strict_next" else F.date_sub(anchor, 1) if mode == "strict_previous" else anchor
     column = "prev_day" if mode in ("previous", "strict_previous") else "next_day"
-    out = df.join(F.broadcast(lookup), key == F.col("__date"), "left").withColumn("aligned_day", F.col(column)).drop("__date", "next_day", "prev_day")
+    held = F.least(key, F.col("__hi")) if column == "prev_day" else F.greatest(key, F.col("__lo"))  # however far outside the calendar
+    keyed = df.crossJoin(F.broadcast(bounds)).withColumn("__key", F.when(key.isNotNull(), held)).drop("__lo", "__hi")
+    out = keyed.join(F.broadcast(lookup), F.col("__key") == F.col("__date"), "left").withColumn("aligned_day", F.col(column)).drop("__key", "__date", "next_day", "prev_day")
     if mode == "exact":
         out = out.withColumn("aligned_day", F.when(F.col("aligned_day") == anchor, F.col("aligned_day")))
     return out

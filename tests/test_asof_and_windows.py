@@ -113,3 +113,15 @@ def test_datetimes_keep_type(spark):
     right = spark.createDataFrame([(1, date(2020, 1, 1), 7)], "k int, d date, v int")
     r = asof.asof_join(left, right, ["k"], "t", "d", ["v"]).first()
     assert r["v"] == 7 and r["asof_d"] == date(2020, 1, 1)
+
+
+def test_alignment_far_outside_the_calendar(spark):
+    c = asof.trading_calendar(spark.sql("select explode(array(date'2020-01-02', date'2020-01-06')) d"), "d")
+    f = spark.sql("select explode(array(date'1990-05-05', date'2020-01-03', date'2050-05-05', cast(null as date))) x")
+    get = lambda mode: {str(r["x"]): str(r["aligned_day"]) for r in asof.align_to_calendar(f, "x", c, mode).collect()}
+    for mode in ("exact_or_next", "strict_next"):
+        assert get(mode) == {"1990-05-05": "2020-01-02", "2020-01-03": "2020-01-06", "2050-05-05": "None", "None": "None"}
+    for mode in ("previous", "strict_previous"):
+        assert get(mode) == {"1990-05-05": "None", "2020-01-03": "2020-01-02", "2050-05-05": "2020-01-06", "None": "None"}
+    assert set(get("exact").values()) == {"None"}
+    assert {str(r["aligned_day"]) for r in asof.align_to_calendar(f, "x", c.limit(0)).collect()} == {"None"}

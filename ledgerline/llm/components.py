@@ -21,6 +21,24 @@ FLUSH = 2_000_000
 MAX_ROUNDS = 60
 
 
+class DisjointSets:
+    """Union-find over positions."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def unite(self, x: int, y: int) -> bool:
+        """True if they were apart."""
+        x, y = self.find(x), self.find(y)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stars that connect what the edges connect: every vertex that isn't the least of its component, and that least vertex."""
     if not len(a):

@@ -1,21 +1,26 @@
 """Documents that share most of their word shingles: an exact n-gram Jaccard join by PartEnum signatures.
 
-A document's set is its distinct shingles of five words, as 64-bit hashes. For a set of size ``s`` in a size band with upper
-end ``r``, a partner of Jaccard similarity ``T / 100`` or more differs from it in at most
-``k = (100 - T) * (s + min(s * 100 / T, r)) / (100 + T)`` shingles. The feature domain is cut into partitions, ``PARTS`` times the band's
-``r``; a set's elements in one partition, hashed together, are one signature. Each differing shingle spoils one partition,
-so of a set's nonempty partitions all but ``k`` agree with the partner's. Signatures have one order for all sets, and by the
-prefix principle the first ``k + 1`` of each set suffice: similar sets of a band share one of them. A set goes to the next
-band too if a partner can lie there. Signatures made only of very common shingles come last in the order; which shingles
-count as common only shifts work, never results.
-
-Sets that share a signature and whose sizes allow a link form candidate families (components of chains by size, found without pairs). A family's
-sets are then compared exactly in one place: rare shingles first, again by prefixes, and sets that are already connected are
-not compared. Families beyond ``UNIT`` shingles are dealt out as pairs of blocks.
+A document's set is its distinct shingles of five words, as 64-bit hashes. Sets of similarity ``T / 100`` or more differ in
+at most ``(100 - T) / (100 + T)`` of the sum of their sizes. The join takes four steps, each exact:
+
+1. *Repeated features.* A set with a partner shares all but ``(100 - T) / 100`` of its shingles, so at least that many,
+   less the same number, of those in one half of the feature domain must occur in another set too. Every task reduces its
+   sets to the distinct fingerprints of that half, those meet by ranges, and sets with too few repeated ones end here.
+2. *PartEnum signatures.* Sets are put into size bands; a pair of bands that partners can lie in has a bound ``k`` on their
+   difference. The domain is cut into ``n1`` regions of ``PARTS`` partitions. More than ``k / (SPOILT + 1)`` regions mean
+   that partners differ in at most ``SPOILT`` partitions of some region, so of all subsets of ``PARTS - SPOILT`` partitions
+   of a region, each hashed to a signature, they share one. Subsets without elements are left out; a set with too few
+   regions of more than ``SPOILT`` filled partitions also emits its first ``k + 1`` shingles by hash (prefix principle).
+3. *Pairs are tested before anything is united.* Each set carries the parities of its shingles over a power of two of slots
+   near its size; two sets differ at least by the slots in which their parities do. Pairs that share a signature, have sizes
+   that allow a link and don't differ too much by that bound make candidate families.
+4. *Exact comparison* in a family: rare shingles first, by prefixes; sets already connected aren't compared. Families beyond
+   ``UNIT`` shingles, and buckets of signatures beyond ``BUCKET`` entries, are dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,22 +30,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release_memory, short_batches
-from .components import components, forest
+from .components import DisjointSets, components, forest
 from .membership import members as slot_members
 from .membership import perhaps, slot, slot_bits
 
 WIDTH = 5
-BAND = 2  # ratio of a band's ends
-PARTS, MIN_PARTS = 0.38, 16
-FLUSH, COUNTED = 600_000, 4_000_000  # signatures and shingles held by a task
-BUCKET = 250_000  # signatures a bucket
-COMMON_SETS, MAX_COMMON = 4, 1_000_000
-LARGE = 8  # entries of a signature beyond which a task thins them
+PARTS, SPOILT, SLACK, SPARE = 3, 1, 1.25, 3
+FINGERPRINT = 48  # bits; equal ones of different shingles only keep a set longer
+CHUNK, CHUNK_SETS = 1_500_000, 65_000  # fingerprints and sets held by a task
+RANGE = 1_000_000  # fingerprints a range
+FLUSH, BUCKET = 600_000, 1_000_000  # signatures held by a task, and met in one place
+SMALL = 12  # sets of a signature compared with others' all at once
 UNIT = 1_000_000  # shingles of the sets compared in one task
 MAX_WORDS_CACHED = 200_000
+LONGEST = 64  # words of a parity sketch
 SIGN = 1 << 63
+NOBODY = 0xFFFF
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_SUBSETS = list(itertools.combinations(range(PARTS), PARTS - SPOILT))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,175 +88,328 @@ def set_id(shingles: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - SIGN
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.view(np.int64)
+def most_apart(sizes, percent: int):
+    """The most shingles in which linked sets of this sum of sizes differ."""
+    return sizes * (100 - percent) // (100 + percent)
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row per document (its set's id and size), and a row per shingle that several of this task's distinct sets hold."""
-    shingle, seen, held, size = Shingler(), set(), [], 0
+# Step 1: repeated features
 
-    def common() -> pd.DataFrame:
-        shingles = np.concatenate(held)
-        held.clear()
-        shingles.sort()  # in place: a task holds them once
-        values, counts = np.unique(shingles[1:][shingles[1:] == shingles[:-1]], return_counts=True)
-        return pd.DataFrame({"doc": None, "id": _signed(values), "n": counts + 1, "common": True})
-
-    for pdf in batches:
-        ids, sizes = [], []
-        for text in pdf["text"]:
-            s = shingle(text)
-            ids.append(set_id(s))
-            sizes.append(len(s))
-            if len(s) and ids[-1] not in seen:
-                seen.add(ids[-1])
-                held.append(s)
-                size += len(s)
-        yield pd.DataFrame({"doc": pdf["doc"], "id": ids, "n": sizes, "common": False})
-        if size > COUNTED:
-            yield common()
-            size, seen = 0, set()
-    if held:
-        yield common()
-    release_memory()
 
+def _packed(values: np.ndarray) -> bytes:
+    """Sorted values as differences of 32 bits, or whole where one is larger."""
+    gaps = np.diff(values, prepend=np.uint64(0))
+    if len(gaps) and gaps[1:].max(initial=0) < 1 << 32:
+        return b"\1" + values[:1].tobytes() + gaps[1:].astype(np.uint32).tobytes()
+    return b"\0" + values.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    if data[0] == 0:
+        return np.frombuffer(data, np.uint64, offset=1)
+    gaps = np.frombuffer(data, np.uint32, offset=9).astype(np.uint64)
+    return np.cumsum(np.r_[np.frombuffer(data, np.uint64, 1, 1), gaps])
+
+
+def _scan(percent: int, ranges: int):
+    """A row per document (its set's id and size); per chunk of sets its ids and needs (``names``), and per range its fingerprints."""
 
-def bands(s: int, percent: int) -> list[tuple[int, int]]:
-    """(Band, most differing shingles) of a set of size ``s``: its own band, and the next if a partner can lie there."""
-    low = 1
-    while s >= low * BAND:
-        low *= BAND
-    out = [(low, (100 - percent) * (s + min(s * 100 // percent, low * BAND - 1)) // (100 + percent))]
-    if s * 100 // percent >= low * BAND:
-        out.append((low * BAND, (100 - percent) * (s + s * 100 // percent) // (100 + percent)))
-    return out
-
-
-def signatures(s: np.ndarray, percent: int, common: np.ndarray) -> np.ndarray:
-    """The signatures a set emits."""
-    out = []
-    if len(common):
-        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        rare = common[at] != s
-    else:
-        rare = np.ones(len(s), bool)
-    for low, k in bands(len(s), percent):
-        parts = np.uint64(max(MIN_PARTS, int(PARTS * (low * BAND - 1))))
-        part = mix(s ^ _FACTORS[3]) % parts
-        order = np.argsort(part, kind="stable")
-        part, values = part[order], mix(s[order] + np.uint64(low))
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        value = mix(np.add.reduceat(values, starts) + mix(part[starts] + np.uint64(low * int(_FACTORS[4]) % (1 << 64))))
-        if len(starts) > k + 1:
-            last = ~np.logical_or.reduceat(rare[order], starts)
-            value = value[np.lexsort((value, last))[: k + 1]]
-        elif len(starts) <= k:  # partners may agree on empty partitions alone
-            value = np.append(value, mix(np.array([low], np.uint64) * _FACTORS[2]))
-        out.append(value)
-    return np.concatenate(out)
-
-
-def chains(sig: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges that connect the ids of a signature whose sizes allow a link, and which entries later ones still have to meet.
-
-    In order of size, neighbours whose sizes allow a link connect all pairs whose sizes do. An entry between two others that
-    are that close is of no further use: whatever it could meet, they meet too.
-    """
-    order = np.lexsort((sizes, sig))
-    sig, ids, sizes = sig[order], ids[order], sizes[order]
-    near = (sig[1:] == sig[:-1]) & (sizes[:-1] * 100 >= sizes[1:] * percent)
-    keep = np.ones(len(sig), bool)
-    bounds = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1], True]) if len(sig) else np.zeros(0, np.int64)
-    for k in np.flatnonzero(np.diff(bounds) > LARGE):
-        last = bounds[k]
-        for i in range(bounds[k] + 1, bounds[k + 1] - 1):
-            if sizes[last] * 100 >= sizes[i + 1] * percent:
-                keep[i] = False
-            else:
-                last = i
-    kept = np.zeros(len(sig), bool)
-    kept[order] = keep
-    return ids[1:][near], ids[:-1][near], kept
-
-
-def _emit(percent: int, common, buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, known, seen = Shingler(), common.value, set()
-        sigs: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
+        shingle, seen = Shingler(), {}
+        prints: list[np.ndarray] = []
+        needs: list[int] = []
         size = 0
 
-        def out() -> pd.DataFrame:
-            sig, first, big = np.concatenate(sigs), np.concatenate(ids), np.concatenate(sizes)
-            a, b, kept = chains(sig, first, big, percent)
-            a, b = forest(a, b)
-            order = np.flatnonzero(kept)[np.argsort(sig[kept], kind="stable")]
-            sig, first, big = sig[order], first[order], big[order]
-            cut = np.searchsorted(sig, (np.arange(buckets + 1, dtype=object) * ((1 << 64) // buckets + 1)).clip(max=(1 << 64) - 1).astype(np.uint64))
-            cut[-1] = len(sig)
-            rows = [(k, sig[i:j].tobytes(), *_coded(first[i:j], big[i:j])) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
-            step = -(-len(a) // buckets)  # edges found here ride along, dealt over the buckets
-            rows += [(k, b"", a[at : at + step].tobytes(), b[at : at + step].tobytes()) for k, at in enumerate(range(0, len(a), max(1, step)))]
-            return pd.DataFrame(rows, columns=["bucket", "sigs", "left", "right"])
+        def chunk() -> pd.DataFrame:
+            values = np.concatenate(prints)
+            owners = np.repeat(np.arange(len(prints), dtype=np.uint16), [len(p) for p in prints])
+            prints.clear()
+            order = np.argsort(values)
+            values, owners = values[order], owners[order]
+            first = np.r_[True, values[1:] != values[:-1]]
+            alone = first & np.r_[first[1:], True]
+            need = np.array(needs) - np.bincount(owners[~alone], minlength=len(needs))  # what the chunk itself repeats is settled
+            owners[~alone] = NOBODY
+            values, owners = values[first], owners[first]
+            ids = np.fromiter(seen, np.int64, len(seen))
+            name = xxhash.xxh3_64_intdigest(ids.tobytes()) - SIGN
+            cut = np.searchsorted(values, (np.arange(ranges + 1) * ((1 << FINGERPRINT) / ranges)).astype(np.uint64))
+            cut[-1] = len(values)
+            rows = [(name % ranges, name, None, ids.tobytes() + need.astype(np.int32).tobytes())]
+            rows += [(k, name, _packed(values[i:j]), owners[i:j].tobytes()) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
+            return pd.DataFrame(rows, columns=["range", "chunk", "prints", "owners"]).assign(doc=None, id=0, n=0)
 
         for pdf in batches:
+            ids, sizes = [], []
             for text in pdf["text"]:
                 s = shingle(text)
-                if not len(s) or (own := set_id(s)) in seen:
-                    continue
-                seen.add(own)
-                sigs.append(signatures(s, percent, known))
-                ids.append(np.full(len(sigs[-1]), own, np.int64))
-                sizes.append(np.full(len(sigs[-1]), len(s), np.int64))
-                size += len(sigs[-1])
+                ids.append(own := set_id(s))
+                sizes.append(len(s))
+                if len(s) and own not in seen:
+                    seen[own] = None
+                    half = s[s & np.uint64(1) == 0] >> np.uint64(64 - FINGERPRINT)
+                    half = half[np.r_[True, half[1:] != half[:-1]]] if len(half) else half
+                    prints.append(half)
+                    needs.append(len(half) - (len(s) - -(-len(s) * percent // 100)))
+                    size += len(half)
+                    if size > CHUNK or len(seen) >= CHUNK_SETS:
+                        yield chunk()
+                        size = 0
+                        seen.clear()
+                        needs.clear()
+            yield pd.DataFrame({"range": -1, "chunk": 0, "prints": None, "owners": None, "doc": pdf["doc"], "id": ids, "n": sizes})
+        if seen:
+            yield chunk()
+        release_memory()
+
+    return run
+
+
+def _repeated(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per chunk, the owners of fingerprints of one range that another chunk has too; names pass."""
+    named = pdf["prints"].isna().to_numpy()
+    out = [pdf.loc[named, ["chunk"]].assign(names=pdf.loc[named, "owners"], owners=None)]
+    chunks = pdf.loc[~named, "chunk"].to_numpy()
+    if len(chunks):
+        values = [_unpacked(p) for p in pdf.loc[~named, "prints"]]
+        owners = [np.frombuffer(o, np.uint16) for o in pdf.loc[~named, "owners"]]
+        place = np.repeat(np.arange(len(values)), [len(v) for v in values])
+        flat, who = np.concatenate(values), np.concatenate(owners)
+        order = np.argsort(flat)
+        same = flat[order][1:] == flat[order][:-1]
+        again = np.zeros(len(flat), bool)
+        again[order] = np.r_[False, same] | np.r_[same, False]
+        again &= who != NOBODY
+        ends = np.searchsorted(place[again], np.arange(len(values) + 1))
+        found = who[again]
+        out.append(pd.DataFrame({"chunk": chunks, "names": None, "owners": [found[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]}))
+    release_memory()
+    return pd.concat(out)[["chunk", "names", "owners"]]
+
+
+def _lasting(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ids of a chunk's sets that have as many repeated fingerprints as a partner needs."""
+    found = np.concatenate([np.zeros(0, np.uint16)] + [np.frombuffer(o, np.uint16) for o in pdf["owners"] if o is not None])
+    data = next(x for x in pdf["names"] if x is not None)  # the same chunk, made twice of the same sets, has one name
+    ids = np.frombuffer(data, np.int64, len(data) // 12)
+    need = np.frombuffer(data, np.int32, offset=len(ids) * 8)
+    return pd.DataFrame({"id": ids[np.bincount(found, minlength=len(ids))[: len(ids)] >= need]})
+
+
+# Step 2: signatures
+
+
+def bands(percent: int, longest: int) -> np.ndarray:
+    """Least sizes of the bands: a partner of a set lies in its band or one beside it."""
+    out = [1]
+    while out[-1] <= longest:
+        out.append(out[-1] * 100 // percent + 1)
+    return np.array(out)
+
+
+def band_pairs(s: int, percent: int, low: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(Number of a band pair, its regions, the set's most differing shingles) for all pairs in which a partner of a set of size ``s`` can lie."""
+    i = int(np.searchsorted(low, s, side="right")) - 1
+    largest, least = s * 100 // percent, -(-s * percent // 100)
+    out = [(2 * i, 2 * (low[i + 1] - 1), s + min(largest, low[i + 1] - 1))]
+    if largest >= low[i + 1]:
+        out.append((2 * i + 1, low[i + 1] - 1 + min(low[i + 2] - 1, (low[i + 1] - 1) * 100 // percent), s + largest))
+    if i and least < low[i]:
+        out.append((2 * i - 1, low[i] - 1 + min(low[i + 1] - 1, (low[i] - 1) * 100 // percent), s + low[i] - 1))
+    return [(pair, regions(int(most_apart(both, percent))), int(most_apart(own, percent))) for pair, both, own in out if most_apart(own, percent) > 0]
+
+
+def regions(k: int) -> int:
+    return int((k // (SPOILT + 1) + 1) * SLACK) + SPARE
+
+
+def signatures(s: np.ndarray, percent: int, low: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The signatures of a set, by band pair. Sets that differ in nothing have one id and need none."""
+    for pair, n1, k in band_pairs(len(s), percent, low):
+        cell = ((mix(s ^ _FACTORS[3] + np.uint64(pair)) >> np.uint64(32)) * np.uint64(n1 * PARTS) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(cell, kind="stable")
+        filled, starts = np.unique(cell[order], return_index=True)
+        sums = np.zeros(n1 * PARTS, np.uint64)
+        sums[filled] = np.add.reduceat(mix(s[order] + np.uint64(pair)), starts)
+        full = np.zeros(n1 * PARTS, bool)
+        full[filled] = True
+        sums, full = sums.reshape(n1, PARTS), full.reshape(n1, PARTS)
+        salt = mix(np.arange(n1 * len(_SUBSETS), dtype=np.uint64).reshape(n1, -1) + np.uint64(pair << 32))
+        out = [mix(sums[:, sub].sum(1, dtype=np.uint64) + salt[:, j])[full[:, sub].any(1)] for j, sub in enumerate(_SUBSETS)]
+        if (full.sum(1) > SPOILT).sum() <= k // (SPOILT + 1):
+            out.append(np.sort(mix(s ^ _FACTORS[2] + np.uint64(pair)))[: k + 1])
+        yield pair, np.concatenate(out)
+
+
+def sketch_words(sizes: np.ndarray) -> np.ndarray:
+    """64-bit words of the parity sketches of sets of these sizes."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(sizes, 64) / 64)).astype(np.int64), 1, LONGEST)
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    bits = 64 * int(sketch_words(np.array([len(s)]))[0])
+    odd = np.bincount((mix(s ^ _FACTORS[4]) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def _emit(percent: int, low: np.ndarray, buckets: np.ndarray):
+    """Signatures by bucket; ``buckets`` has the first one of each band pair."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        size = 0
+
+        def out() -> pd.DataFrame:
+            rows = []
+            for pair, sets in held.items():
+                sigs = np.concatenate([x[2] for x in sets])
+                owner = np.repeat(np.arange(len(sets)), [len(x[2]) for x in sets])
+                first, many = int(buckets[pair]), int(buckets[pair + 1] - buckets[pair])
+                bucket = ((sigs >> np.uint64(32)) * np.uint64(many) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[order], np.arange(many + 1))
+                for b in range(many):
+                    at = order[cut[b] : cut[b + 1]]
+                    if len(at):
+                        own, place = np.unique(owner[at], return_inverse=True)
+                        ids, sizes = np.array([sets[i][0] for i in own], np.int64), np.array([sets[i][1] for i in own], np.int32)
+                        head = ids.tobytes() + sizes.tobytes()
+                        rows.append((first + b, len(at), len(own), sigs[at].view(np.uint8).reshape(-1, 8)[:, :6].tobytes(), place.astype(np.uint32).tobytes(), head, np.concatenate([sketches[sets[i][0]] for i in own]).tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "n", "sets", "sigs", "place", "head", "sketch"])
+
+        sketches: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for own, data in zip(pdf["id"], pdf["shingles"], strict=True):
+                s = np.frombuffer(data, np.uint64)
+                for pair, sigs in signatures(s, percent, low):
+                    held.setdefault(pair, []).append((own, len(s), sigs))
+                    size += len(sigs)
+                sketches[own] = parities(s)
             if size > FLUSH:
                 yield out()
-                sigs, ids, sizes, size, seen = [], [], [], 0, set()
-        if sigs:
+                held.clear()
+                sketches.clear()
+                size = 0
+        if held:
             yield out()
-        sigs, ids, sizes = [], [], []
+        held.clear()
         release_memory()
 
     return run
 
 
-def _coded(ids: np.ndarray, sizes: np.ndarray) -> tuple[bytes, bytes]:
-    """Distinct ids with their sizes, and for each place the number of its id: few sets give many signatures."""
-    names, first, at = np.unique(ids, return_index=True, return_inverse=True)
-    return names.tobytes() + sizes[first].tobytes(), at.astype(np.uint16 if len(names) < 1 << 16 else np.uint32).tobytes()
+# Step 3: tests of pairs
 
 
-def _meet(percent: int):
-    """Edges among the sets of a bucket that share a signature, and the edges that came with it."""
+class Sketched:
+    """Sets with their parity sketches: tells for pairs of positions whether a link is possible."""
 
+    def __init__(self, sizes: np.ndarray, sketches: list[bytes], percent: int):
+        self.sizes, self.percent = sizes, percent
+        self.words = sketch_words(sizes)
+        data = np.frombuffer(b"".join(sketches), np.uint64)
+        starts = np.r_[0, np.cumsum(self.words)]
+        self.rows, self.row = {}, {}
+        for w in np.unique(self.words):
+            for width, own in ((w, np.flatnonzero(self.words == w)), (2 * w, np.flatnonzero(self.words == 2 * w))):
+                if not len(own):
+                    continue
+                x = data[starts[own][:, None] + np.arange(width)]
+                x = x if width == w else x[:, :w] ^ x[:, w:]  # a sketch folds into one of half its slots
+                at = self.row.setdefault(int(w), np.full(len(sizes), -1, np.int64))
+                have = self.rows.get(int(w))
+                at[own] = np.arange(len(own)) + (0 if have is None else len(have))
+                self.rows[int(w)] = x if have is None else np.concatenate([have, x])
+
+    def possible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        small, large = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
+        good = small * 100 >= large * self.percent
+        width = np.minimum(self.words[a], self.words[b])
+        limit = most_apart(small + large, self.percent)
+        for w, rows in self.rows.items():
+            at = np.flatnonzero(good & (width == w))
+            for i in range(0, len(at), 1 << 16):
+                part = at[i : i + (1 << 16)]
+                apart = np.bitwise_count(rows[self.row[w][a[part]]] ^ rows[self.row[w][b[part]]]).sum(1, dtype=np.int64)
+                good[part] = apart <= limit[part]
+        return good
+
+
+def meet(sigs: np.ndarray, owner: np.ndarray, sets: Sketched, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect all pairs of sets (positions) that share a signature and may be linked; with ``side``, pairs of both sides only."""
+    order = np.argsort(sigs, kind="stable")
+    sigs, owner = sigs[order], owner[order]
+    bounds = np.flatnonzero(np.r_[True, sigs[1:] != sigs[:-1], True]) if len(sigs) else np.zeros(1, np.int64)
+    counts = np.diff(bounds)
+    none = np.zeros(0, np.int64)
+    left, right = [none], [none]
+    for c in range(2, SMALL + 1):
+        groups = owner[bounds[:-1][counts == c][:, None] + np.arange(c)]
+        for i, j in itertools.combinations(range(c), 2):
+            left.append(groups[:, i])
+            right.append(groups[:, j])
+    a, b = np.concatenate(left), np.concatenate(right)
+    del left, right
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    a, b = np.divmod(np.unique(a * len(sets.sizes) + b), max(1, len(sets.sizes)))
+    if side is not None:
+        across = side[a] != side[b]
+        a, b = a[across], b[across]
+    good = sets.possible(a, b)
+    a, b = forest(a[good], b[good])
+    joined = DisjointSets(len(sets.sizes))
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        joined.unite(x, y)
+    edges = [(a, b)]
+    for k in np.flatnonzero(counts > SMALL):
+        own = np.unique(owner[bounds[k] : bounds[k + 1]])
+        label = np.array([joined.find(x) for x in own.tolist()])
+        names, size = np.unique(label, return_counts=True)
+        if len(names) < 2:
+            continue
+        for x in own[label != names[size.argmax()]].tolist():  # all but the largest class against everything
+            others = own[np.array([joined.find(y) for y in own.tolist()]) != joined.find(x)] if len(own) <= 64 else own[own != x]
+            if side is not None:
+                others = others[side[others] != side[x]]
+            near = others[sets.possible(np.full(len(others), x), others)]
+            fresh = [y for y in near.tolist() if joined.unite(x, y)]
+            edges.append((np.full(len(fresh), x), np.array(fresh, np.int64)))
+    return np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges])
+
+
+def _meet(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        none = np.zeros(0, np.int64)
-        sigs, ids, sizes, a, b = [np.zeros(0, np.uint64)], [none], [none], [none], [none]
-        for s, left, right in zip(pdf["sigs"], pdf["left"], pdf["right"], strict=True):
-            if s:
-                names, big = np.frombuffer(left, np.int64).reshape(2, -1)
-                at = np.frombuffer(right, np.uint16 if len(names) < 1 << 16 else np.uint32)
-                sigs.append(np.frombuffer(s, np.uint64))
-                ids.append(names[at])
-                sizes.append(big[at])
-            else:
-                a.append(np.frombuffer(left, np.int64))
-                b.append(np.frombuffer(right, np.int64))
-        x, y, _ = chains(np.concatenate(sigs), np.concatenate(ids), np.concatenate(sizes), percent)
-        x, y = forest(np.concatenate([x, *a]), np.concatenate([y, *b]))
+        heads, base = [], 0
+        sigs, owner, sizes, ids, side = [], [], [], [], []
+        for r in pdf.itertuples():
+            ids.append(np.frombuffer(r.head, np.int64, r.sets))
+            sizes.append(np.frombuffer(r.head, np.int32, r.sets, r.sets * 8).astype(np.int64))
+            wide = np.zeros((r.n, 8), np.uint8)
+            wide[:, :6] = np.frombuffer(r.sigs, np.uint8).reshape(-1, 6)
+            sigs.append(wide.view(np.uint64)[:, 0])
+            owner.append(np.frombuffer(r.place, np.uint32).astype(np.int64) + base)
+            side.append(np.full(r.sets, r.side))
+            heads.append(r.sketch)
+            base += r.sets
+        ids, side = np.concatenate(ids), np.concatenate(side)
+        sets = Sketched(np.concatenate(sizes), heads, percent)
+        a, b = meet(np.concatenate(sigs), np.concatenate(owner), sets, side if side.max() > 0 else None)
+        a, b = forest(ids[a], ids[b])
         release_memory()
-        return pd.DataFrame({"a": x, "b": y})
+        return pd.DataFrame({"a": a, "b": b})
 
     return run
 
 
+# Step 4: exact comparison
+
+
 def _sets(slots):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, member = Shingler(), slot_members(slots.value)
         for pdf in batches:
             sets = [shingle(t) for t in pdf["text"][member[pdf["slot"].to_numpy(np.int64)]]]
+            sets = [s for s in sets if len(s)]
             yield pd.DataFrame({"id": [set_id(s) for s in sets], "shingles": [s.tobytes() for s in sets]})
         release_memory()
 
@@ -324,16 +485,18 @@ def _compare(percent: int):
     return run
 
 
-def _most(often: DataFrame) -> DataFrame:
-    """At most ``MAX_COMMON`` ids, by count; a histogram finds the least count, so no task returns more than its share."""
-    level = F.floor(F.log2("n") * 16)
-    left, least = MAX_COMMON, 1 << 20
-    for r in sorted(often.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
-        left -= r["count"]
-        if left < 0:
-            break
-        least = r["level"]
-    return often.filter(level >= least).select("id")
+def _in_blocks(rows: DataFrame, key: str, block, columns: list[str]) -> DataFrame:
+    """Rows of ``key`` dealt to pairs of its ``blocks`` blocks: both rows of every pair of rows meet in one ``(key, i, j)``; ``side`` tells the blocks apart."""
+    whole = rows.filter("blocks = 1").select(key, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), *columns)
+    parts = rows.filter("blocks > 1").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = parts.select(
+        key,
+        F.least("block", "other").cast("int").alias("i"),
+        F.greatest("block", "other").cast("int").alias("j"),
+        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
+        *columns,
+    )
+    return whole.union(dealt)
 
 
 def link_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -341,41 +504,44 @@ def link_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``component_id`` is the least non-null id of the documents reachable by links, the row's own included; a document without
     words links with nothing and has its own id. Equal texts and repeated rows link. Null texts have no words. Other columns
-    are ignored. Empty input: no rows.
+    are ignored. Empty input: no rows. Shingles and sets are known by 64-bit hashes.
     """
     spark = docs.sparkSession
     short_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).cast("string").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    scanned = materialize(texts.mapInPandas(_scan, "doc string, id long, n long, common boolean"), "sets")
-    rows = scanned.filter(~F.col("common")).select(F.col("doc").cast(kind).alias("doc"), "id", "n")
-    often = scanned.filter("common").groupBy("id").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_SETS)
-    common = _most(often).toArrow().column("id").to_numpy().astype(np.int64).view(np.uint64)
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    buckets = max(8, total * 2 // (5 * BUCKET))
-
-    sent = spark.sparkContext.broadcast(np.sort(common))
-    emitted = texts.select("text").mapInPandas(_emit(percent, sent, buckets), "bucket long, sigs binary, left binary, right binary")
-    families = components(emitted.groupBy("bucket").applyInPandas(_meet(percent), "a long, b long"))
-    families = families.union(families.select("component", "component").distinct())
 
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(16, size // (12 * RANGE))  # a word and its space take six bytes, and half of the shingles count
+    scanned = materialize(texts.mapInPandas(_scan(percent, ranges), "doc string, id long, n long, range long, chunk long, prints binary, owners binary"), "sets")
+    rows = scanned.filter("range < 0").select(F.col("doc").cast(kind).alias("doc"), "id", "n")
+    met = scanned.filter("range >= 0").select("range", "chunk", "prints", "owners").groupBy("range").applyInPandas(_repeated, "chunk long, names binary, owners binary")
+    lasting = met.groupBy("chunk").applyInPandas(_lasting, "id long").distinct()
     per_set = rows.filter("n > 0").groupBy("id").agg(F.min("doc").alias("least"), F.min(slot(F.col("doc"))).alias("slot"), F.min("n").alias("n"))
-    members = materialize(per_set.join(families, F.col("id") == F.col("vertex")).select("id", "least", "slot", "n", F.col("component").alias("family")), "members")
-    sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / UNIT).alias("blocks"))
-    found = texts.select("text", slot(F.col("doc")).alias("slot")).mapInPandas(_sets(spark.sparkContext.broadcast(slot_bits(members))), "id long, shingles binary")
-    sets = found.join(members.join(sizes, "family").select("id", "family", "blocks"), "id")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    whole = sets.filter("blocks = 1").select("family", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"), "id", "shingles")
-    parts = sets.filter("blocks > 1").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = parts.select(
-        "family",
-        F.least("block", "other").cast("int").alias("i"),
-        F.greatest("block", "other").cast("int").alias("j"),
-        F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
-        "id",
-        "shingles",
-    )
-    links = materialize(whole.union(dealt).groupBy("family", "i", "j").applyInPandas(_compare(percent), "a long, b long"), "links")
+    lasting = materialize(per_set.join(lasting, "id", "left_semi"), "lasting")
+
+    found = texts.select("text", slot(F.col("doc")).alias("slot")).mapInPandas(_sets(spark.sparkContext.broadcast(slot_bits(lasting))), "id long, shingles binary")
+    sets = materialize(found.join(lasting.select("id"), "id", "left_semi").dropDuplicates(["id"]), "shingles")
+    # how many signatures each band pair has follows from a histogram of the sizes
+    longest = lasting.agg(F.max("n")).first()[0] or 1
+    low = bands(percent, longest * 100 // percent + 1)
+    level = F.array_position(F.transform(F.array(*[F.lit(int(x)) for x in low]), lambda x: x > F.col("n")), True)
+    signed = np.zeros(2 * len(low) + 1, np.int64)
+    for r in lasting.groupBy(level.alias("level")).agg(F.count("*").alias("count"), F.max("n").alias("n")).collect():
+        for pair, n1, _ in band_pairs(r["n"], percent, low):
+            signed[pair] += r["count"] * n1 * len(_SUBSETS)
+    buckets = np.r_[0, np.cumsum(np.maximum(1, 2 * signed // BUCKET))]
+    emitted = materialize(sets.mapInPandas(_emit(percent, low, buckets), "bucket long, n long, sets long, sigs binary, place binary, head binary, sketch binary"), "signatures")
+    blocks = emitted.groupBy("bucket").agg(F.ceil(F.sum("n") / BUCKET).alias("blocks"))
+    columns = ["n", "sets", "sigs", "place", "head", "sketch"]
+    dealt = _in_blocks(emitted.join(blocks, "bucket"), "bucket", F.pmod(F.xxhash64("head"), F.col("blocks")), columns)
+    families = components(dealt.groupBy("bucket", "i", "j").applyInPandas(_meet(percent), "a long, b long"))
+    families = families.union(families.select("component", "component").distinct())
+
+    members = materialize(lasting.join(families, F.col("id") == F.col("vertex")).select("id", "least", "n", F.col("component").alias("family")), "members")
+    units = members.groupBy("family").agg(F.ceil(F.sum("n") / UNIT).alias("blocks"))
+    compared = _in_blocks(sets.join(members.join(units, "family").select("id", "family", "blocks"), "id"), "family", F.pmod(F.xxhash64("id"), F.col("blocks")), ["id", "shingles"])
+    links = materialize(compared.groupBy("family", "i", "j").applyInPandas(_compare(percent), "a long, b long"), "links")
 
     reached = components(links)
     roots = reached.union(reached.select("component", "component").distinct())
@@ -389,15 +555,18 @@ def link_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """Rows of ``docs``, all columns: of each group of linked documents the one with the least id stays.
 
-    Rows of one group that share that id are reduced to one of them; documents without words all stay. A null id stays only
-    where its group has no other id.
+    Rows of one group that share that id are reduced to one of them; documents without words (null and empty texts too) all
+    stay. A null id stays only where its group has no other id. Columns may have any names. Empty input: no rows.
     """
     links = materialize(link_shingles(docs, id_col, text_col, percent), "groups")
-    rest = links.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone")).distinct()
-    again = links.filter("n_shingles > 0").groupBy(F.col(id_col).alias("twice"), "component_id").count().filter("count > 1").select("twice").distinct()
-    listed = materialize(rest.select(F.col("gone").alias("key")).union(again.select("twice")), "listed")
+    rest = links.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("key")).distinct()
+    again = links.filter("n_shingles > 0").groupBy(F.col(id_col).alias("key"), "component_id").count().filter("count > 1").select("key").distinct()
+    listed = materialize(rest.select("key", F.lit(True).alias("gone")).union(again.select("key", F.lit(False).alias("gone"))), "listed")
     clear, unsure = perhaps(docs, F.col(id_col), listed)
-    kept = unsure.join(rest, F.col(id_col).eqNullSafe(F.col("gone")), "left_anti")
-    single = kept.join(again, F.col(id_col).eqNullSafe(F.col("twice")), "left_anti")
-    repeated = kept.join(again, F.col(id_col).eqNullSafe(F.col("twice")), "left_semi").dropDuplicates([id_col])
-    return clear.union(single).union(repeated)
+    row = unsure.select(F.struct(*unsure.columns).alias("row"))  # the caller's names stay inside a struct
+    same = F.col("row")[id_col].eqNullSafe(F.col("key"))
+    kept = row.join(listed.filter("gone").select("key"), same, "left_anti")
+    twice = listed.filter("NOT gone").select("key")
+    single = kept.join(twice, same, "left_anti")
+    repeated = kept.join(twice, same, "left_semi").groupBy(F.col("row")[id_col].alias("key")).agg(F.first("row").alias("row")).select("row")
+    return clear.union(single.union(repeated).select("row.*"))

@@ -52,6 +52,24 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int)
     )
 
 
+def running_sums(sums: DataFrame, keys: list[str], order: str, value: str, per: int = 1000) -> DataFrame:
+    """Adds ``before``: the sum of ``value`` over the rows of the same ``keys`` that come earlier in ``order`` (a long, unique per key).
+
+    ``per`` neighbouring values of ``order`` are summed first, so a key's rows meet in one task only as such sums.
+    """
+    coarse = F.expr(f"{order} div {per}")
+    earlier = lambda *by: (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy
+    until = Window.unboundedPreceding, -1
+    totals = sums.groupBy(*keys, coarse.alias("coarse")).agg(F.sum(value).alias("total"))
+    totals = totals.withColumn("passed", F.coalesce(F.sum("total").over(earlier(*keys)("coarse").rowsBetween(*until)), F.lit(0)))
+    within = F.coalesce(F.sum(value).over(earlier(*keys, "coarse")(order).rowsBetween(*until)), F.lit(0))
+    placed = sums.withColumn("coarse", coarse).withColumn("within", within).alias("s")
+    same = F.col("s.coarse") == F.col("t.coarse")
+    for k in keys:
+        same = same & F.col(f"s.{k}").eqNullSafe(F.col(f"t.{k}"))
+    return placed.join(totals.alias("t"), same).select(*[F.col(f"s.{c}") for c in sums.columns], (F.col("within") + F.col("passed")).alias("before"))
+
+
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -74,8 +92,7 @@ def mix_sources(
     rows = rows.join(counts, F.col("source").eqNullSafe(F.col("of"))).withColumn("range", F.expr("key div ((1L << 60) div ceil(n / %d) + 1)" % ROWS_PER_RANGE)).drop("of", "n")
     sums = rows.groupBy("source", "range").agg(F.sum("size").alias("size"))
     sources = source_targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats)
-    earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("source", "range", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("offset"))
+    offsets = running_sums(sums, ["source"], "range", "size").select("source", "range", F.col("before").alias("offset"))
     sources = sources.withColumnRenamed("source", "of")
     offsets = materialize(offsets.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of"), "offsets")
     within = Window.partitionBy("source", "range").orderBy("key", "doc", "row")
@@ -90,7 +107,8 @@ def mix_sources(
 
 
 def _finish(repeat: int) -> Column:
-    return (F.col("upto") + repeat * F.col("source_size")).cast("double") / F.col("target")
+    """Null in sources without words: their target is 0 and nothing of them is taken."""
+    return F.try_divide((F.col("upto") + repeat * F.col("source_size")).cast("double"), F.col("target"))
 
 
 def _place(repeat: int) -> Column:
@@ -105,7 +123,7 @@ def _copies_before_cut(placed: DataFrame, ranges: int, max_repeats: int) -> Colu
         "size", "row", F.explode(F.array(*[F.struct(_place(k).alias("place"), F.least(F.lit(2.0), _finish(k)).alias("finish")) for k in range(max_repeats)])).alias("c")
     ).select("size", "row", "c.place", F.floor(F.col("c.finish") * slots).alias("slot"))
     by_slot = copies.groupBy("slot").agg(F.sum("size").alias("size"))
-    running = by_slot.withColumn("upto", F.sum("size").over(Window.orderBy("slot")))
+    running = running_sums(by_slot, [], "slot", "size").withColumn("upto", F.col("before") + F.col("size"))
     budget = placed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     if not budget:
         return F.lit(0).cast("long")
@@ -130,8 +148,13 @@ def _copies_before_cut(placed: DataFrame, ranges: int, max_repeats: int) -> Colu
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = 3) -> DataFrame:
-    """Rows of ``docs``, all columns, as often as the mix takes them; rows that share an id are taken alike."""
+    """Rows of ``docs``, all columns, as often as the mix takes them.
+
+    Rows that share an id (null too) are taken alike, as often as the one taken most. Null and empty texts have no words and
+    are not taken. Columns may have any names. Empty input: no rows.
+    """
     mixed = mix_sources(docs, id_col, source_col, text_col=text_col, weights=weights, max_repeats=max_repeats)
-    copies = mixed.filter("taken > 0").groupBy(F.col(id_col).alias("mixed_id")).agg(F.max(F.expr("cast(taken div size as int)")).alias("mixed_copies"))
-    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("mixed_id")))
-    return joined.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select(*[docs[c] for c in docs.columns])
+    copies = mixed.filter("taken > 0").groupBy(F.col(id_col).alias("key")).agg(F.max(F.expr("cast(taken div size as int)")).alias("copies"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"))  # the caller's names stay inside a struct
+    joined = rows.join(copies, F.col("row")[id_col].eqNullSafe(F.col("key")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

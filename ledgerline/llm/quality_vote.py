@@ -10,7 +10,7 @@ block. The ``NEIGHBOURS`` nearest vote with their similarity, each class weighte
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -39,7 +39,9 @@ def _bins(text: str) -> list[int]:
     """Structure of a text as eight binned measures."""
     words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
     n = len(words)
-    fresh = [len(set(words[i : i + 100])) / len(words[i : i + 100]) for i in range(0, max(1, n - 50), 100)] if n else [0.0]
+    # windows of about 100 words that cover the whole text
+    edges = [n * i // max(1, round(n / 100)) for i in range(max(1, round(n / 100)) + 1)]
+    fresh = [len(set(words[i:j])) / (j - i) for i, j in pairwise(edges)] if n else [0.0]
     letters = sum(len(w) for w in words)
     measures = (
         sum(fresh) / len(fresh),
@@ -121,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     rows = [tuple(r) for r in chosen[0].union(chosen[1]).collect()]
     sample = spark.createDataFrame(rows, "doc string, label int")
     texts = docs.select(F.col(id_col).cast("string").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(sample), "doc").mapInPandas(_labelled, "doc string, label int, x binary").dropDuplicates(["doc"]).collect()
+    found = texts.join(F.broadcast(sample), "doc").mapInPandas(_labelled, "doc string, label int, x binary").groupBy("doc", "label").agg(F.min("x").alias("x")).collect()
     found.sort(key=lambda r: r["doc"])
     x = np.stack([np.frombuffer(r["x"], np.float32) for r in found]) if found else np.zeros((0, DIMS), np.float32)
     y = np.array([r["label"] for r in found], np.float64)
@@ -137,7 +139,7 @@ def quality_scores(
     """Returns ``id_col, held_out, score, predicted``, one row per input row.
 
     Null texts are empty; empty texts are scored too. A null id is never held out. Repeated rows are scored each on its own;
-    labels that disagree count as the larger. With no labelled rows every score is ``PRIOR``. Other columns are ignored.
+    of a labelled id's texts the one of least features teaches, and labels that disagree count as the larger. With no labelled rows every score is ``PRIOR``. Other columns are ignored.
     Empty input: no rows.
     """
     short_batches(docs.sparkSession)
@@ -154,7 +156,10 @@ def quality_scores(
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Rows of ``docs``, all columns, whose score reaches the threshold."""
+    """Rows of ``docs``, all columns, whose score reaches the threshold.
+
+    Null texts are empty, and null ids and repeated rows are judged like others. Columns may have any names. Empty input: no rows.
+    """
     short_batches(docs.sparkSession)
     model = train(docs, labels, id_col, text_col, "quality")
     schema = docs.schema

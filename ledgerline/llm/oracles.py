@@ -15,8 +15,8 @@ again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c
 rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat FROM again, range(5) t(k) GROUP BY 1),
 l AS (SELECT r, line FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE len({WORDS.format("line")}) > 0),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM l GROUP BY 1),
-k AS (SELECT l.r, d.source, d.text, len({WORDS.format("l.line")}) AS nw, regexp_replace(lower(array_to_string({WORDS.format("l.line")}, ' ')), '[0-9]+', '0', 'g') AS key FROM l JOIN d USING (r)),
-common AS (SELECT coalesce(source, chr(0)) AS s, key FROM k GROUP BY 1, 2 HAVING count(DISTINCT text) > 20),
+k AS (SELECT r, doc_id, source, len(ws) AS nw, lower(array_to_string(CASE WHEN 2 * len(list_filter(ws, lambda x: regexp_full_match(x, '[0-9]+'))) < len(ws) THEN list_transform(ws, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN '0' ELSE x END) ELSE ws END, ' ')) AS key FROM (SELECT l.r, d.doc_id, d.source, {WORDS.format("l.line")} AS ws FROM l JOIN d USING (r))),
+common AS (SELECT coalesce(source, chr(0)) AS s, key FROM k GROUP BY 1, 2 HAVING count(DISTINCT doc_id) > 20),
 gone AS (SELECT k.r, sum(nw) AS gone FROM k JOIN common c ON coalesce(k.source, chr(0)) = c.s AND k.key = c.key GROUP BY 1),
 o AS (SELECT d.doc_id, n_words, word_chars, len(regexp_extract_all(d.text, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, coalesce(gone, 0) AS gone FROM d JOIN n USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r))
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
@@ -62,8 +62,8 @@ t AS ({_spans(0, _ASSIGN, 1, 6)} UNION ALL {_spans(1, "AKIA[A-Z0-9]+", 0, 20)} U
 SELECT * FROM ({_spans(3, "[A-Za-z0-9+/_-]+", 0, 20)}) WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') AND len(list_distinct(string_split(value, ''))) >= 12),
 k AS (SELECT * FROM t WHERE ok),
 f AS (SELECT * FROM k WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM k b WHERE b.r = k.r AND b.kind < 3 AND b.s < k.e AND k.s < b.e)),
-o AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repos FROM f GROUP BY 1),
-j AS (SELECT f.*, owners FROM f JOIN o USING (value) WHERE kind < 3 OR (owners = 1 AND repos = 1)),
+o AS (SELECT value, count(DISTINCT source) AS owners FROM f GROUP BY 1),
+j AS (SELECT f.*, owners FROM f JOIN o USING (value) WHERE kind < 3 OR owners = 1),
 a AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, count(*) FILTER (WHERE kind = 3) AS n_owner, count(*) FILTER (WHERE owners >= 3) AS n_example, count(*) FILTER (WHERE owners = 1) AS n_live,
 string_agg(['assign', 'access', 'hex', 'owner'][kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, kind) AS spans, string_agg(['assign', 'access', 'hex'][kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base FROM j GROUP BY 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_owner, 0) AS n_owner, coalesce(n_example, 0) AS n_example, coalesce(n_live, 0) AS n_live FROM d LEFT JOIN a USING (r)

@@ -164,13 +164,18 @@ def test_line_rules(spark, texts):
 def test_line_rules_counts_distinct_documents_per_host(spark):
     own = lambda i: " ".join(f"own{i}w{k}" for k in range(30))
     rows = [(i, f"Common  Line 12 of all\n{own(i)}", "a") for i in range(25)] + [(100 + i, "common line 7 of ALL\n" + own(100 + i), "b") for i in range(5)]
-    rows += [(200 + i, "\n".join(f"copied line {k} of the same text" for k in "abcdef"), "a") for i in range(40)]  # exact copies count once
-    rows += [(300 + i, f"Common line 99 of all\nx{i}", "a") for i in range(2)]
+    rows += [(200 + i, "\n".join(f"copied line {k} of the same text" for k in "abcdef"), "a") for i in range(40)]  # copies are documents of their own
+    rows += [(300, "Common line 12 of all\nx", "a")] * 30  # one document, however often it is listed
+    rows += [(400, "rare line of one document only, and it has to be long enough to be kept here", None)] * 30
+    rows += [(500 + i, f"number page {i} of the whole report\n{own(500 + i)}", "p") for i in range(25)]
+    rows += [(600 + i, f"{i} 30 45\n7 {i} 1\n{own(600 + i)}", "t") for i in range(30)]  # tables of numbers are no common lines
     got = {r["doc_id"]: r for r in line_frequency.line_rules(frame(spark, rows)).collect()}
     assert all(got[i]["n_removed_words"] == 5 and got[i]["kept"] for i in range(25))
     assert all(got[100 + i]["n_removed_words"] == 0 for i in range(5))
-    assert all(got[200 + i]["n_removed_words"] == 0 for i in range(40))
-    assert not got[300]["kept"]
+    assert all(got[200 + i]["n_removed_words"] == 42 and not got[200 + i]["kept"] for i in range(40))
+    assert not got[300]["kept"] and got[400]["kept"] and got[400]["n_removed_words"] == 0
+    assert all(got[500 + i]["n_removed_words"] == 7 and got[500 + i]["kept"] for i in range(25))
+    assert all(got[600 + i]["n_removed_words"] == 0 and got[600 + i]["kept"] for i in range(30))
 
 
 @pytest.mark.parametrize("text", ["", "a b", "a b c d e a b c d e", "a b c d e f a b c d e x y", "a " * 30, "a b c d e f g h i j"])
@@ -240,38 +245,60 @@ def test_shingle_links(spark, texts, monkeypatch, unit):
     assert shingle_links.link_shingles(frame(spark, [])).count() == 0
 
 
-def test_shingle_links_when_everything_is_common(spark, monkeypatch):
-    monkeypatch.setattr(shingle_links, "COMMON_SETS", 1)
+def test_shingle_links_in_blocks_of_signatures(spark, monkeypatch):
+    monkeypatch.setattr(shingle_links, "BUCKET", 60)
     rows = near_copies()
     assert sorted(map(tuple, shingle_links.link_shingles(frame(spark, rows)).collect()), key=repr) == brute_links(rows)
 
 
-def test_chains_connect_what_sizes_allow(monkeypatch):
-    rng = np.random.default_rng(11)
-    for large in (1, 8):
-        monkeypatch.setattr(shingle_links, "LARGE", large)
-        for _ in range(50):
-            n = int(rng.integers(1, 40))
-            sig, ids, sizes = rng.integers(0, 3, n).astype(np.uint64), np.arange(n), rng.integers(10, 60, n)
-            half = rng.random(n) < 0.5
-            edges, rest = [], []
-            for part in (half, ~half):  # two tasks, then a bucket
-                a, b, kept = shingle_links.chains(sig[part], ids[part], sizes[part], 75)
-                edges += list(zip(a.tolist(), b.tolist(), strict=True))
-                rest += ids[part][kept].tolist()
-            a, b, _ = shingle_links.chains(sig[rest], ids[rest], sizes[rest], 75)
-            root = list(range(n))
-
-            def join(pairs, root):
-                for x, y in pairs:
-                    x, y = root[x], root[y]
-                    root = [y if r == x else r for r in root]
-                return root
-
-            got = join([*edges, *zip(a.tolist(), b.tolist(), strict=True)], root)
-            want = join([(i, j) for i in range(n) for j in range(i) if sig[i] == sig[j] and min(sizes[i], sizes[j]) * 100 >= 75 * max(sizes[i], sizes[j])], root)
-            same = lambda r: [[r[i] == r[j] for j in range(n)] for i in range(n)]
-            assert same(got) == same(want)
+def similar_sets(rng, n):
+    """A set of ``n`` hashes and one that shares just enough of it, of smaller, equal or greater size."""
+    own = rng.integers(0, 1 << 63, 3 * n + 3, dtype=np.uint64)
+    size = int(rng.integers(-(-3 * n // 4), n * 4 // 3 + 1))
+    least = -(-75 * (n + size) // 175)
+    return np.sort(own[:n]), np.sort(np.r_[own[:least], own[n : n + size - least]])
+
+
+@pytest.mark.parametrize("percent", [75, 90])
+def test_similar_sets_share_a_signature_and_pass_the_sketch(percent):
+    rng = np.random.default_rng(13)
+    low = shingle_links.bands(percent, 4000)
+    for n in [*range(1, 60), *rng.integers(60, 2500, 150)]:
+        for _ in range(4):
+            x, y = similar_sets(rng, int(n))
+            shared = len(np.intersect1d(x, y))
+            if 100 * shared < percent * (len(x) + len(y) - shared) or np.array_equal(x, y):
+                continue
+            a, b = ({int(v) for _, v in shingle_links.signatures(s, percent, low) for v in v} for s in (x, y))
+            assert a & b
+            sets = shingle_links.Sketched(np.array([len(x), len(y)]), [shingle_links.parities(s).tobytes() for s in (x, y)], percent)
+            assert sets.possible(np.array([0, 1]), np.array([1, 0])).all()
+
+
+def test_signatures_cover_subsets_of_partitions():
+    rng = np.random.default_rng(17)
+    s = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    (_, n1, k), *_ = shingle_links.band_pairs(300, 75, shingle_links.bands(75, 500))
+    first = next(v for _, v in shingle_links.signatures(np.sort(s), 75, shingle_links.bands(75, 500)))
+    assert n1 > k // (shingle_links.SPOILT + 1) and len(first) <= 3 * n1 + k + 1 and len(first) > 2 * n1
+
+
+def test_packed_fingerprints():
+    rng = np.random.default_rng(19)
+    for values in (np.zeros(0, np.uint64), np.array([5], np.uint64), np.unique(rng.integers(0, 1 << 48, 1000, dtype=np.uint64)), np.unique(rng.integers(0, 1 << 30, 1000, dtype=np.uint64))):
+        assert np.array_equal(shingle_links._unpacked(shingle_links._packed(values)), values)
+
+
+@pytest.mark.parametrize("stage", ["keep_one", "apply_mix"])
+def test_stages_keep_columns_of_any_name(spark, texts, stage):
+    names = ("gone", "twice", "key", "row", "copies", "mixed_id", "mixed_copies", "mixed_copy", "side", "family")
+    df = spark.createDataFrame([(i, t, s) for i, t, s in texts], "doc_id long, text string, source string").select("*", *[F.lit(n).alias(n) for n in names])
+    plain = df.select("doc_id", "text", "source")
+    f = shingle_links.keep_one if stage == "keep_one" else mixing.apply_mix
+    got = f(df)
+    assert got.schema.names == df.schema.names
+    assert sorted(map(repr, got.select("doc_id", "text", "source").collect())) == sorted(map(repr, f(plain).collect()))
+    assert f(df.limit(0)).count() == 0
 
 
 def test_keep_one(spark, texts):
@@ -301,7 +328,7 @@ def test_secrets(spark):
     assert len(got) == len(rows)
     by = {(r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"]): r for r in got}
     first = by[1, 1, 1, 0]
-    spans = "assign:25:44,access:46:66"
+    spans = "assign:25:43,access:45:65"
     assert first["spans"] == spans and first["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
     assert by[6, 0, 0, 1]["n_owner"] == 1 and by[6, 0, 0, 1]["n_example"] == 1 and by[6, 0, 0, 1]["spans"] == "hex:4:36,owner:37:60"
     assert by[7, 1, 0, 1]["spans"] == "assign:0:48,hex:8:48"

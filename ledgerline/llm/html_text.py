@@ -1,9 +1,14 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. Pass one decides blocks by structure (menus, footers, forms and the like are
-out), link density, length and stop-word density; short or unclear blocks stay open. Pass two gives every open block the
-label of its nearest decided neighbour of the same container; where both are equally near and differ, and where no
-neighbour is decided, the container decides: in an article block stays, elsewhere it goes.
+A page is cut into blocks at block-level tags. Pass one decides blocks by link density, length and stop-word density; short
+and unclear blocks stay open. Menus, footers, forms and the like, known by their tags, roles and names, are out beforehand.
+Pass two gives every open block the label of its nearest decided neighbour of the same container, one in another kind of
+element counting as farther; where both are equally near and differ, a paragraph or a block of an article stays and others go,
+as they do where no neighbour is decided.
+
+An article element is one more feature, not the rule: inside it less is asked of a block, and what densities accept outside it
+goes only where the article holds at least half of all accepted text; else the element is taken for a teaser and ignored. On
+pages whose long blocks hardly have stop words (another language), length and link density decide alone.
 
 Class and id names are only hints: a name that marks an element as out counts after the whole page is read, and not where the
 element holds the main element, or most of the text or of the articles.
@@ -24,7 +29,7 @@ from .common import short_batches
 
 #: Tag names of the HTML standard by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "svg", "annotation", "annotation-xml", "iframe", "canvas", "textarea", "select", "title", "xmp", "noembed", "noframes")
+RAW = ("script", "style", "noscript", "template", "svg", "annotation", "annotation-xml", "iframe", "textarea", "select", "title", "xmp", "noembed", "noframes")
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td"
@@ -67,6 +72,10 @@ HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 MOST, MOST_ARTICLE = 0.5, 0.8
 LONG_LINKS, SHORT_WORDS, LONG_WORDS = 0.5, 6, 12
 STOP_LOW, STOP_HIGH = 0.12, 0.25
+#: A neighbour in another kind of element counts as so much farther; kinds that hold text rather than layout.
+OTHER_TAG, TEXT_TAGS = 2, ("p", "blockquote", "pre")
+#: A line of rights, which is no part of the article, up to this many words.
+RIGHTS, RIGHTS_WORDS = re.compile(r"(?:©|\(c\)|copyright\b)|.*\ball rights reserved\b", re.I | re.S), 40
 
 
 @dataclass
@@ -78,6 +87,7 @@ class Block:
     link_chars: int
     label: str = "open"
     named: tuple[int, ...] = ()  # elements around it whose name marks them as out
+    tag: str = ""  # of the nearest block-level element around it
 
 
 @dataclass
@@ -122,7 +132,8 @@ class _Page:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
             at = self.top()
-            self.blocks.append(Block(text, at.container, at.out, self.heading, self.link_chars, named=at.named))
+            tag = next((e.tag for e in reversed(self.stack) if e.tag in BLOCK), "")
+            self.blocks.append(Block(text, at.container, at.out, self.heading, self.link_chars, named=at.named, tag=tag))
         self.parts, self.link_chars, self.breaks = [], 0, 0
 
     def open(self, tag: str, attributes: str) -> None:
@@ -227,23 +238,57 @@ def blocks_of(page: str) -> list[Block]:
     return p.blocks
 
 
+@dataclass
+class _Density:
+    words: int
+    stops: float
+    links: float
+
+
+def densities(b: Block) -> _Density:
+    words = [w.lower() for w in WORDS.findall(b.text)]
+    chars = max(1, len(SPACE.sub("", b.text)))
+    return _Density(len(words), sum(w in STOP_WORDS for w in words) / max(1, len(words)), b.link_chars / chars)
+
+
+def decide(b: Block, d: _Density, inside: bool, stop_words_tell: bool) -> str:
+    """Pass one: good, bad or open."""
+    low, high = (STOP_LOW, STOP_HIGH) if stop_words_tell else (0.0, 0.0)
+    if b.out:
+        return "bad"
+    if d.links > LONG_LINKS:
+        return "bad" if d.words >= SHORT_WORDS or not inside else "open"
+    if not inside and d.words <= RIGHTS_WORDS and RIGHTS.match(b.text):
+        return "bad"
+    if d.words >= LONG_WORDS and d.stops >= high or inside and d.words >= SHORT_WORDS and d.stops >= low:
+        return "good"
+    if d.words >= LONG_WORDS and d.stops < low and not inside:
+        return "bad"
+    return "open"
+
+
 def classify(blocks: list[Block]) -> None:
     """Sets every block's label to good or bad."""
+    found = [densities(b) for b in blocks]
+    long = [d for b, d in zip(blocks, found, strict=True) if not b.out and d.words >= LONG_WORDS and d.links <= LONG_LINKS]
+    tell = sum(d.stops * d.words for d in long) >= STOP_LOW * sum(d.words for d in long)
     article = any(b.container > 0 and not b.out for b in blocks)
     hinted = not article and any(b.container < 0 and not b.out for b in blocks)
-    for b in blocks:
-        inside = b.container > 0 or hinted and b.container < 0
-        words = [w.lower() for w in WORDS.findall(b.text)]
-        chars = max(1, len(SPACE.sub("", b.text)))
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.out or article and not inside:
-            b.label = "bad"
-        elif b.link_chars > LONG_LINKS * chars:
-            b.label = "bad" if len(words) >= SHORT_WORDS or not inside else "open"
-        elif len(words) >= LONG_WORDS and stops >= STOP_HIGH or inside and len(words) >= SHORT_WORDS and stops >= STOP_LOW:
-            b.label = "good"
-        elif len(words) >= LONG_WORDS and stops < STOP_LOW and not inside:
-            b.label = "bad"
+    within = lambda b: b.container > 0 or hinted and b.container < 0
+    for b, d in zip(blocks, found, strict=True):
+        b.label = decide(b, d, within(b), tell)
+    if article:
+        accepted = [0, 0]
+        for b in blocks:
+            if b.label == "good" or b.label == "open" and b.container > 0:
+                accepted[b.container > 0] += len(b.text)
+        article = accepted[1] >= accepted[0]
+        for b, d in zip(blocks, found, strict=True):
+            if article and b.container <= 0:
+                b.label = "bad"
+            elif not article:
+                b.container = 0
+                b.label = decide(b, d, False, tell)
     decided = [(i, b) for i, b in enumerate(blocks) if b.label != "open"]
     inherited: dict[int, str] = {}
     nearest_before: dict[int, int] = {}
@@ -259,7 +304,7 @@ def classify(blocks: list[Block]) -> None:
         if b.label != "open":
             following[b.container] = i
             continue
-        inside = b.container > 0 or hinted and b.container < 0
+        inside = within(b)
         before, after = nearest_before.get(i), following.get(b.container)
         if b.heading and after is not None:
             before = None
@@ -269,10 +314,12 @@ def classify(blocks: list[Block]) -> None:
             inherited[i] = blocks[before if after is None else after].label
         elif blocks[before].label == blocks[after].label:
             inherited[i] = blocks[before].label
-        elif i - before == after - i:
-            inherited[i] = "good" if inside else "bad"
         else:
-            inherited[i] = blocks[before if i - before < after - i else after].label
+            far = lambda j: abs(i - j) + OTHER_TAG * (blocks[j].tag != b.tag)
+            if far(before) == far(after):
+                inherited[i] = "good" if inside or b.tag in TEXT_TAGS else "bad"
+            else:
+                inherited[i] = blocks[min(before, after, key=far)].label
     for i, label in inherited.items():
         blocks[i].label = label
 

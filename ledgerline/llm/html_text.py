@@ -75,7 +75,7 @@ STOP_LOW, STOP_HIGH = 0.12, 0.25
 #: A neighbour in another kind of element counts as so much farther; kinds that hold text rather than layout.
 OTHER_TAG, TEXT_TAGS = 2, ("p", "blockquote", "pre")
 #: A line of rights, which is no part of the article, up to this many words.
-RIGHTS, RIGHTS_WORDS = re.compile(r"(?:©|\(c\)|copyright\b)|.*\ball rights reserved\b", re.I | re.S), 40
+RIGHTS, RIGHTS_WORDS = re.compile(r"©|\(c\)|copyright\b", re.I), 40
 
 
 @dataclass
@@ -260,9 +260,10 @@ def decide(b: Block, d: _Density, inside: bool, stop_words_tell: bool) -> str:
         return "bad" if d.words >= SHORT_WORDS or not inside else "open"
     if not inside and d.words <= RIGHTS_WORDS and RIGHTS.match(b.text):
         return "bad"
-    if d.words >= LONG_WORDS and d.stops >= high or inside and d.words >= SHORT_WORDS and d.stops >= low:
+    paragraph = b.tag in TEXT_TAGS
+    if d.words >= LONG_WORDS and d.stops >= (low if paragraph else high) or inside and d.words >= SHORT_WORDS and d.stops >= low:
         return "good"
-    if d.words >= LONG_WORDS and d.stops < low and not inside:
+    if d.words >= LONG_WORDS and d.stops < low and not inside and not paragraph:
         return "bad"
     return "open"
 
@@ -289,6 +290,10 @@ def classify(blocks: list[Block]) -> None:
             elif not article:
                 b.container = 0
                 b.label = decide(b, d, False, tell)
+    if not any(b.label == "good" for b in blocks):  # a page of odd or very short paragraphs: those are its text
+        for b in blocks:
+            if b.label == "open" and b.tag in TEXT_TAGS:
+                b.label = "good"
     decided = [(i, b) for i, b in enumerate(blocks) if b.label != "open"]
     inherited: dict[int, str] = {}
     nearest_before: dict[int, int] = {}

@@ -142,7 +142,7 @@ def test_a_teaser_article_is_not_the_article():
 def test_equal_distance_and_other_languages():
     prose = "It was the best of the times and it was the worst of them for all of us, and so it went. "
     menu = "<ul><li><a href=1>Home and more of the pages here</a></li></ul>"
-    assert H.main_text(f"{menu}<div>Three short words</div><div>{prose}</div>") == prose.strip()
+    assert H.main_text(f"{menu}<section>Three short words</section><div>{prose}</div>") == prose.strip()
     assert H.main_text(f"<p>{prose}</p><p>Three short words.</p>{menu}").split("\n") == [prose.strip(), "Three short words."]
     odd = "Zal lom brek tiv orun hask pel dirra moni quast elvo burrin tach sile worm. "
     assert H.main_text(f"{menu}<p>{odd}</p><p>{odd * 2}</p>").split("\n") == [odd.strip(), (odd * 2).strip()]

@@ -14,7 +14,7 @@ SHARE_TENS = {1: "Ordinary Common", 2: "Certificates", 3: "ADR", 4: "Shares of B
 SHARE_UNITS = {0: "Not Further Defined", 1: "Not Needing Further Definition", 2: "Non-US Incorporated", 3: "Americus Trust", 4: "Closed-End Fund", 5: "Closed-End Fund Non-US", 8: "REIT"}
 EXCHANGES = {1: "NYSE", 2: "AMEX", 3: "NASDAQ", 4: "ARCA", 5: "BATS"}
 #: Spellings of form types that mean the same form.
-FORM_ALIASES = {"10KA": "10K/A", "10QA": "10Q/A", "10K405A": "10K405/A", "10KSBA": "10KSB/A", "10QSBA": "10QSB/A"}
+FORM_ALIASES = {"10KA": "10K/A", "10QA": "10Q/A", "10K405A": "10K405/A", "10KTA": "10KT/A", "10QTA": "10QT/A", "10KSBA": "10KSB/A", "10QSBA": "10QSB/A"}
 MICROCAP = 50_000.0
 
 

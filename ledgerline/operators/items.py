@@ -119,7 +119,7 @@ def segment(text: str, form: str = "10-K") -> list[dict]:
     for h in headings(text, form):
         part = default_part(h.number) if annual else h.part or 1
         groups.setdefault((part, h.number, h.letter), []).append(h)
-    best = {k: max(v[:8], key=lambda h: (h.score, h.start)) for k, v in groups.items()}
+    best = {k: max(v, key=lambda h: (h.score, h.start)) for k, v in groups.items()}
     order = sorted(best.items(), key=lambda x: x[1].start)
     out = []
     for i, (key, h) in enumerate(order):

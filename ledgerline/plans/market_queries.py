@@ -97,17 +97,17 @@ def status_bitmask(spark, sf):
 
 
 @query("""
-WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_retailprice - 950 END AS prc, 10 + p_size % 4 AS shr, p_size % 5 AS ex, p_retailprice * 50 AS cap FROM part)
-SELECT p_partkey, coalesce(abs(prc) >= 1, false) AS price_ok, shr IN (10, 11) AS common_ok, ex IN (1, 2, 3) AS exchange_ok, coalesce(abs(prc) >= 1, false) AND shr IN (10, 11) AND ex IN (1, 2, 3) AND cap >= 50000 AS concept_ok FROM p
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_retailprice - 950 END AS prc, 10 + p_size % 4 AS shr, p_size % 5 AS ex, p_partkey % 7 AS vol, p_retailprice * 50 AS cap FROM part)
+SELECT p_partkey, coalesce(abs(prc) >= 1, false) AS price_ok, shr IN (10, 11) AS common_ok, ex IN (1, 2, 3) AS exchange_ok, vol > 0 AS volume_ok, coalesce(abs(prc) >= 1, false) AND shr IN (10, 11) AND ex IN (1, 2, 3) AND vol > 0 AND cap >= 50000 AS concept_ok FROM p
 """)
 def concept_filters(spark, sf):
     p = table(spark, sf, "part").select(
         "p_partkey", F.when(F.col("p_partkey") % 9 != 0, F.col("p_retailprice") - 950).alias("PRC"), (10 + F.col("p_size") % 4).alias("SHRCD"), (F.col("p_size") % 5).alias("EXCHCD"),
-        F.lit(1.0).alias("VOL"), (F.col("p_retailprice") * 50).alias("TCAP"),
+        (F.col("p_partkey") % 7).alias("VOL"), (F.col("p_retailprice") * 50).alias("TCAP"),
     )
     c = market.concept_flags(p)
     has = lambda f: X.has_all(F.col("data_status"), market.FLAGS[f])
-    return c.select("p_partkey", has("PRICE_OK").alias("price_ok"), has("COMMON_OK").alias("common_ok"), has("EXCHANGE_OK").alias("exchange_ok"), has("CONCEPT_OK").alias("concept_ok"))
+    return c.select("p_partkey", has("PRICE_OK").alias("price_ok"), has("COMMON_OK").alias("common_ok"), has("EXCHANGE_OK").alias("exchange_ok"), has("VOLUME_OK").alias("volume_ok"), has("CONCEPT_OK").alias("concept_ok"))
 
 
 @query("""
@@ -135,7 +135,7 @@ def _factors(spark, sf):
 _EVENT_SQL = """
 WITH d AS (SELECT user_id % 50 AS p, CAST(ts AS DATE) AS day, avg(value) / 1000 AS r, sum(value) AS v FROM events GROUP BY 1, 2),
 cal AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM d)),
-e AS (SELECT k AS doc_id, k % 50 AS p, DATE '2024-01-08' + CAST(k % 12 AS INTEGER) AS day FROM range(200) t(k)),
+e AS (SELECT event_id AS doc_id, user_id % 50 AS p, CAST(ts AS DATE) AS day FROM events),
 w AS (SELECT e.doc_id, CAST(c2.i - c1.i AS INTEGER) AS rel, d.r, d.v, d.day FROM e JOIN cal c1 ON e.day = c1.day JOIN d ON d.p = e.p JOIN cal c2 ON d.day = c2.day WHERE c2.i - c1.i BETWEEN -6 AND 9)
 """
 
@@ -281,7 +281,7 @@ def industry_range_map(spark, sf):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS k, l_partkey % 20 AS a, (l_partkey * 3 + l_linenumber) % 20 AS b FROM lineitem WHERE l_suppkey < 40 AND l_linenumber = 1 AND l_quantity < 4),
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS k, l_partkey % 20 AS a, (l_partkey * 3 + l_linenumber) % 20 AS b FROM lineitem),
 s AS (SELECT k, a, b FROM e UNION SELECT k, b, a FROM e), n AS (SELECT DISTINCT k, a FROM s),
 c(k, a, r) AS (SELECT k, a, a FROM n UNION SELECT c.k, s.b, c.r FROM c JOIN s ON c.k = s.k AND c.a = s.a)
 SELECT k, a AS member, min(r) AS root FROM c GROUP BY 1, 2

@@ -175,10 +175,10 @@ def regime_interval_annotation(spark, sf):
 
 
 def _filing_texts(spark, sf):
-    """Documents dressed as filings: three items around each document's text."""
+    """Documents dressed as filings: each document's whole text in three items."""
     d = table(spark, sf, "documents")
     body = F.coalesce("text", F.lit(""))
-    text = F.concat(F.lit("PART I\nItem 1. Business\n"), body, F.lit("\nItem 1A. Risk Factors\n"), F.substring(body, 1, 400), F.lit("\nPART II\nItem 7. Management's Discussion\n"), body, F.lit("\nSIGNATURES\n"))
+    text = F.concat(F.lit("PART I\nItem 1. Business\n"), body, F.lit("\nItem 1A. Risk Factors\n"), body, F.lit("\nPART II\nItem 7. Management's Discussion\n"), body, F.lit("\nSIGNATURES\n"))
     return d.select("doc_id", text.alias("text"))
 
 

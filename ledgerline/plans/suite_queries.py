@@ -95,11 +95,11 @@ def _base(spark, sf):
     return events.table_base(filings, asof.trading_calendar(daily, "CALDT"), annual, daily, tokens)
 
 
-@query(_MARKET + _BASE + "SELECT doc, round(price, 6) AS price, round(me * 1000, 4) AS size, round(be, 4) AS book_equity, round(bm, 6) AS book_to_market, tokens FROM base")
+@query(_MARKET + _BASE + "SELECT doc, round(price, 6) AS price, round(me * 1000, 6) AS size, round(be, 4) AS book_equity, round(bm, 6) AS book_to_market, tokens FROM base")
 def table_base(spark, sf):
     """Filings with anchors, annual row, market data of the day before and token counts."""
     b = _base(spark, sf)
-    return b.select(F.col("doc_id").alias("doc"), rounded("pre_filing_price").alias("price"), rounded(F.col("size_event") * 1000, 4).alias("size"), rounded("book_equity_be", 4).alias("book_equity"), rounded("bm_event").alias("book_to_market"), F.col("token_count").alias("tokens"))
+    return b.select(F.col("doc_id").alias("doc"), rounded("pre_filing_price").alias("price"), rounded(F.col("size_event") * 1000, 6).alias("size"), rounded("book_equity_be", 4).alias("book_equity"), rounded("bm_event").alias("book_to_market"), F.col("token_count").alias("tokens"))
 
 
 _STEPS = ["sc0 IN (10, 11)", "me > 0", "price >= 3", "rdays = 4 AND vdays = 4", "ex0 IN (1, 2, 3)", "least(tobs, aobs, pobs, qobs) >= 60", "be > 0 AND bm > 0", "tokens >= 2000"]

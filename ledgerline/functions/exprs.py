@@ -167,3 +167,36 @@ def row_key(*columns: Column) -> Column:
 
 def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("long")
+
+
+def clip_span(start: Column, end: Column, low: Column, high: Column) -> tuple[Column, Column]:
+    """A span cut to bounds; a missing end stays missing."""
+    return F.when(start.isNotNull(), F.greatest(start, low)), F.when(end.isNotNull(), F.least(end, high))
+
+
+def scale_variants(negative: Column, neutral: Column, positive: Column) -> dict[str, Column]:
+    """Signals drawn from class shares: net tone, dominance, and the logit of the negative share."""
+    return {
+        "net_negative": negative - positive,
+        "net_share": F.when(negative + positive > 0, (negative - positive) / (negative + positive)),
+        "dominant": F.greatest(negative, neutral, positive),
+        "logit_negative": clipped_logit(negative),
+    }
+
+
+#: Names of text scopes.
+SCOPES = {"item1": "1", "item 1": "1", "business": "1", "item1a": "1A", "item 1a": "1A", "risk factors": "1A", "item7": "7", "item 7": "7", "mda": "7", "md&a": "7", "full": "FULL", "full_10k": "FULL"}
+
+
+def text_scope(c: Column) -> Column:
+    """Canonical name of a text scope; unknown names stay as they are, trimmed and in upper case."""
+    low = F.lower(F.trim(c))
+    return mapped(low, SCOPES, F.upper(F.trim(c)))
+
+
+def wider_bucket(bucket: Column, n: Column) -> Column:
+    """A token bucket that fits ``n``: the one given, or the next that is long enough."""
+    order = {"short": 1, "medium": 2, "long": 3}
+    need = F.when(n <= 128, 1).when(n <= 256, 2).otherwise(3)
+    rank = F.greatest(mapped(bucket, order, F.lit(1)), need)
+    return mapped(rank, {v: k for k, v in order.items()})

@@ -146,3 +146,132 @@ def analyst_panel(actuals: DataFrame, estimates: DataFrame, months: Sequence[int
         .when(F.col("n_base") > 1, "CONFLICTING_BASE")
     )
     return p.withColumn("rejection_code", code).drop("ends", "only_end", "n_actual", "n_snapshot", "n_base")
+
+
+def lookup_handoff(bridge: DataFrame, common_only: bool = False, need_company: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+    """Rows to look up under a filter profile: a preferred identifier, and where asked common stock, a company, an allowed security."""
+    value, kind = X.preferred_identifier(F.col("ISIN"), F.col("CUSIP"), F.col("TICKER"))
+    out = bridge.withColumn("preferred_lookup_id", value).withColumn("preferred_lookup_type", kind).filter("preferred_lookup_id is not null")
+    if common_only:
+        out = out.filter(X.common_stock(F.col("SHRCD")))
+    if need_company:
+        out = out.filter("KYGVKEY is not null")
+    return out if allowed is None else out.join(allowed.select("KYPERMNO").distinct(), "KYPERMNO", "left_semi")
+
+
+def lookup_diagnostics(rows: DataFrame, lookups: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Counts of successful look-ups, of rows whose look-ups agree, differ or all failed."""
+    from .review import distinct_successes
+
+    n = distinct_successes(*lookups)
+    found = [F.count(F.when(X.clean_text(F.col(c)).isNotNull(), 1)).alias(f"{c}_found") for c in lookups]
+    count = lambda p, name: F.count(F.when(p, 1)).alias(name)
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), *found, count(n == 0, "failed"), count(n == 1, "agreed"), count(n > 1, "differ"))
+
+
+def pairwise_comparison(rows: DataFrame, lookups: Sequence[str]) -> DataFrame:
+    """Per pair of look-ups: rows where both succeeded, and where they agree."""
+    from itertools import combinations
+
+    from .review import same_value
+
+    cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), same_value(a, b).alias("same")) for a, b in combinations(lookups, 2)]
+    long = rows.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    return long.groupBy("a", "b").agg(F.count("same").alias("both"), F.count(F.when(F.col("same"), 1)).alias("agree"))
+
+
+def instrument_authority(resolved: DataFrame, instruments: DataFrame) -> DataFrame:
+    """Resolved identifiers with their instrument facts and why they can't be used, if so."""
+    out = resolved.join(instruments.withColumnRenamed("ric", "effective_ric"), "effective_ric", "left")
+    reason = (
+        F.when(F.col("effective_ric").isNull(), "NO_IDENTIFIER")
+        .when(F.col("instrument_type").isNull(), "NO_INSTRUMENT")
+        .when(F.lower("instrument_type") != "ordinary share", "NOT_COMMON")
+        .when(F.col("currency") != "USD", "FOREIGN_CURRENCY")
+    )
+    return out.withColumn("ineligible_reason", reason).withColumn("eligible", reason.isNull())
+
+
+def candidate_metrics(observations: DataFrame) -> DataFrame:
+    """Per security and identifier: observations, dates, categories and the span they cover."""
+    return observations.groupBy("KYPERMNO", "ric").agg(
+        F.count("*").alias("observations"), F.count_distinct("date").alias("dates"), F.count_distinct("category").alias("categories"), F.min("date").alias("first_date"), F.max("date").alias("last_date")
+    )
+
+
+def authority_decisions(metrics: DataFrame, groups: DataFrame, min_dates: int = 3) -> DataFrame:
+    """Per security and alias group its span and support, and per security a decision.
+
+    ``NO_SUPPORT`` without a group of enough dates, ``SINGLE`` with one, ``SEQUENTIAL`` where groups follow each other in time,
+    ``OVERLAP`` where any two overlap.
+    """
+    g = metrics.join(groups, ["KYPERMNO", "ric"]).groupBy("KYPERMNO", "canonical_ric").agg(F.sum("dates").alias("dates"), F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"))
+    g = g.withColumn("supported", F.col("dates") >= min_dates)
+    w = Window.partitionBy("KYPERMNO", "supported").orderBy("first_date", "last_date", "canonical_ric")
+    g = g.withColumn("__reach", F.max("last_date").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    s = g.groupBy("KYPERMNO").agg(F.count(F.when(F.col("supported"), 1)).alias("groups"), F.max(F.when(F.col("supported") & (F.col("first_date") <= F.col("__reach")), 1).otherwise(0)).alias("__over"))
+    decision = F.when(F.col("groups") == 0, "NO_SUPPORT").when(F.col("groups") == 1, "SINGLE").when(F.col("__over") == 1, "OVERLAP").otherwise("SEQUENTIAL")
+    return g.drop("__reach").join(s.withColumn("decision", decision).drop("__over"), "KYPERMNO")
+
+
+def authority_exceptions(decisions: DataFrame) -> DataFrame:
+    """Securities that need a person's look, with the reason."""
+    return decisions.filter(F.col("decision").isin("NO_SUPPORT", "OVERLAP")).groupBy("KYPERMNO", "decision").agg(F.count("*").alias("candidates"))
+
+
+def authority_panel(decisions: DataFrame, gap_days: int = 365) -> DataFrame:
+    """Windows of the identifiers of decided securities, those of one group merged across gaps: ``KYPERMNO, ric, window_start, window_end``."""
+    from .windows import merge_intervals
+
+    ok = decisions.filter("supported").filter(F.col("decision").isin("SINGLE", "SEQUENTIAL"))
+    rows = ok.select("KYPERMNO", F.col("canonical_ric").alias("ric"), F.col("first_date").alias("window_start"), F.col("last_date").alias("window_end"))
+    return merge_intervals(rows, ["KYPERMNO", "ric"], "window_start", "window_end", gap_days).drop("parts")
+
+
+def universe_diagnostics(universe: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Membership of two tables of keys in each other: one row of counts and rates."""
+    a, b = universe.select(*key).distinct().withColumn("__a", F.lit(1)), found.select(*key).distinct().withColumn("__b", F.lit(1))
+    j = a.join(b, list(key), "full")
+    both = F.count(F.when(F.col("__a").isNotNull() & F.col("__b").isNotNull(), 1))
+    return j.agg(F.count("__a").alias("universe"), F.count("__b").alias("found"), both.alias("both"), F.try_divide(both, F.count("__a")).alias("coverage"), F.count(F.when(F.col("__a").isNull(), 1)).alias("unexpected"))
+
+
+def exact_or_unique(docs: DataFrame, candidates: DataFrame, exact: Sequence[str], loose: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Candidates by the exact keys, else by the looser ones where only one candidate has them: adds ``values`` and ``match_status``.
+
+    Candidates are unique by the exact keys. A miss with several loose candidates is refused as ambiguous.
+    """
+    packed = candidates.select(*exact, *[c for c in loose if c not in exact], F.struct(*values).alias("__v"))
+    single = packed.groupBy(*loose).agg(F.count("*").alias("__n"), F.min("__v").alias("__loose"))
+    out = docs.join(packed.select(*exact, F.col("__v").alias("__exact")), list(exact), "left").join(single, list(loose), "left")
+    status = F.when(F.col("__exact").isNotNull(), "EXACT").when(F.col("__n") == 1, "FALLBACK").when(F.col("__n") > 1, "AMBIGUOUS_FALLBACK_REJECTED").otherwise("NO_MATCH")
+    pick = F.coalesce("__exact", F.when(F.col("__n") == 1, F.col("__loose")))
+    return out.withColumn("match_status", status).withColumn("__p", pick).select(*docs.columns, *[F.col("__p")[v].alias(v) for v in values], "match_status")
+
+
+def plan_batches(requests: Sequence[tuple[str, object, object, int]], max_rows: int) -> list[dict]:
+    """Joins requests (id, first day, last day, rows a day) into batches of at most ``max_rows`` rows, on the driver.
+
+    Requests go in order of their spans; each joins the open batch that grows least, else opens one. A batch's fingerprint is a
+    hash of its members, so the same requests give the same batches.
+    """
+    import hashlib
+
+    batches: list[dict] = []
+    for rid, first, last, rate in sorted(requests, key=lambda r: (r[1], r[2], r[0])):
+        best = None
+        for b in batches:
+            lo, hi, rates = min(b["first"], first), max(b["last"], last), b["rate"] + rate
+            rows = ((hi - lo).days + 1) * rates
+            extra = rows - b["rows"]
+            if rows <= max_rows and (best is None or extra < best[0]):
+                best = (extra, b, lo, hi, rates, rows)
+        if best:
+            _, b, lo, hi, rates, rows = best
+            b.update(first=lo, last=hi, rate=rates, rows=rows)
+            b["members"].append(rid)
+        else:
+            batches.append({"first": first, "last": last, "rate": rate, "rows": ((last - first).days + 1) * rate, "members": [rid]})
+    for b in batches:
+        b["fingerprint"] = hashlib.sha256("|".join([str(b["first"]), str(b["last"]), *sorted(b["members"])]).encode()).hexdigest()[:16]
+    return batches

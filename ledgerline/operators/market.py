@@ -154,3 +154,52 @@ def merge_histories(panel: DataFrame, security_history: DataFrame, security_head
     for x in c:
         out = out.withColumn(x, F.when(F.col("__fresh"), F.col(x)))
     return out.drop("asof_HCHGDT", "matched", "HCHGENDDT", "__fresh")
+
+
+#: The columns of the panel's three stable surfaces, with their types.
+SURFACES = {
+    "core": {"KYPERMNO": "int", "CALDT": "date", "PRC": "double", "RET": "double", "RETX": "double", "FINAL_RET": "double", "FINAL_RETX": "double", "FINAL_PRC": "double", "BIDLO": "double", "ASKHI": "double", "VOL": "double", "TCAP": "double", "SHROUT": "double", "TICKER": "string", "SHRCD": "int", "EXCHCD": "int", "data_status": "bigint"},
+    "daily": {"KYPERMNO": "int", "CALDT": "date", "FINAL_RET": "double", "FINAL_PRC": "double", "VOL": "double", "TCAP": "double", "SHROUT": "double", "SHRCD": "int", "EXCHCD": "int"},
+    "bridge": {"KYPERMNO": "int", "CALDT": "date", "gvkey": "string", "liid": "string", "HSCUSIP": "string", "HISIN": "string", "TICKER": "string", "n_filings": "int"},
+}
+
+
+def surface(panel: DataFrame, name: str) -> DataFrame:
+    """A stable surface of the panel: absent columns are typed nulls, a missing count of filings is 0."""
+    from ..contracts import project_with_defaults
+
+    out = project_with_defaults(panel, SURFACES[name], {"n_filings": 0})
+    return out.na.fill({"n_filings": 0}) if "n_filings" in out.columns else out
+
+
+def clean_panel(panel: DataFrame) -> DataFrame:
+    """Concept flags anew, then common stock on a major exchange."""
+    return common_major(concept_flags(panel))
+
+
+def daily_stage(spark, feeds: dict[str, DataFrame], path: str, start: str, mode: str = "REBUILD") -> dict[str, DataFrame]:
+    """The whole daily panel, written below ``path`` with its surfaces; ``REUSE`` reads them if all are there.
+
+    ``feeds`` has bid_ask, prices, delist, names, header, and where known filings, links, description, security_history,
+    security_header, company_history.
+    """
+    if mode not in ("REBUILD", "REUSE"):
+        raise ValueError(f"mode must be REBUILD or REUSE, not {mode}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = lambda n: (p := jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")).getFileSystem(conf).exists(p)
+    names = ("panel", *SURFACES)
+    if mode == "REBUILD" or not all(done(n) for n in names):
+        p = final_returns(price_panel(feeds["bid_ask"], feeds["prices"], feeds["delist"], feeds["names"], feeds["header"], start, feeds.get("shares")))
+        if "filings" in feeds:
+            p = attach_filings(p, feeds["filings"])
+        if "links" in feeds:
+            p = attach_links(p, feeds["links"])
+        if "security_history" in feeds:
+            p = merge_histories(p, feeds["security_history"], feeds["security_header"], feeds["company_history"])
+        if "description" in feeds:
+            p = attach_company_description(p, feeds["description"])
+        p.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/panel")
+        whole = spark.read.parquet(f"{path}/panel")
+        for n in SURFACES:
+            surface(whole, n).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{n}")
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}

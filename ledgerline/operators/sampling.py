@@ -71,3 +71,51 @@ def apportion(target: int, weights: Mapping[str, float], capacity: Mapping[str,
 def half_up(n: int, fraction: float) -> int:
     """``n * fraction`` rounded half up."""
     return int(n * Fraction(str(fraction)) + Fraction(1, 2))
+
+
+def nested_sample(sample: DataFrame, strata: Sequence[str], quotas: DataFrame) -> DataFrame:
+    """The part of a ranked sample within lower quotas (``quota`` per stratum); strata without a quota go."""
+    return sample.join(quotas, list(strata)).filter(F.col("stratum_rank") <= F.col("quota")).drop("quota")
+
+
+def allocate(df: DataFrame, strata: Sequence[str], target: int, balanced: bool = False, at_least_one: bool = False) -> DataFrame:
+    """Quotas of the strata that add up to ``target`` (or to all rows): by size, or equal when ``balanced``. One row a stratum comes to the driver."""
+    counts = df.groupBy(*strata).agg(F.count("*").alias("n")).orderBy(F.desc("n"), *strata).collect()
+    names = [str(i) for i in range(len(counts))]
+    size = {k: r["n"] for k, r in zip(names, counts, strict=True)}
+    seats = apportion(target, dict.fromkeys(names, 1) if balanced else size, size, at_least_one)
+    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in strata)
+    return df.sparkSession.createDataFrame([(*[r[c] for c in strata], seats[k]) for k, r in zip(names, counts, strict=True)], f"{schema}, quota int")
+
+
+def quartile_sample(df: DataFrame, measure: str, key: Sequence[str], per: int, seed: object, by: Sequence[str] = ()) -> DataFrame:
+    """``per`` rows of smallest hash from each quarter of the rows by ``measure`` (ties by key): adds ``quartile``."""
+    from .windows import rank_bucket
+
+    rows = df.filter(F.col(measure).isNotNull()).withColumn("__all", F.lit(0))
+    placed = rank_bucket(rows, list(by) or ["__all"], [F.col(measure), *[F.col(k) for k in key]], 4, "quartile").drop("__all")
+    quotas = placed.select(*by, "quartile").distinct().withColumn("quota", F.lit(per))
+    return quota_sample(placed, [*by, "quartile"], quotas, seed, key)
+
+
+def uniform_sample(df: DataFrame, n: int, key: Sequence[str], seed: object) -> DataFrame:
+    """Exactly ``n`` rows (or all), those of smallest hash: what a reservoir would give, but the same on every run."""
+    return df.orderBy(selection_key(seed, *key), *key).limit(n)
+
+
+def covering_sample(df: DataFrame, entity: str, scope: str, n: int, seed: object) -> DataFrame:
+    """``n`` entities that cover most scopes, ties by hash: ``entity, scopes, place``."""
+    counts = df.filter(F.col(entity).isNotNull()).groupBy(entity).agg(F.count_distinct(scope).alias("scopes"))
+    first = counts.orderBy(F.desc("scopes"), selection_key(seed, entity), entity).limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("scopes"), selection_key(seed, entity), entity)))
+
+
+def example_pack(df: DataFrame, by: Sequence[str], score: str, least: float, k: int, key: Sequence[str], seed: object) -> DataFrame:
+    """The first ``k`` rows a group by stable key among those whose score reaches ``least``: adds ``place``."""
+    w = Window.partitionBy(*by).orderBy(selection_key(seed, *key), *key)
+    return df.filter(F.col(score) >= least).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def first_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first ``n`` rows of each group in a total order."""
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")

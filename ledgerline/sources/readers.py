@@ -104,3 +104,117 @@ def light_metadata(df: DataFrame, drop: Sequence[str] = ("full_text",), sort: Se
 
 def stem(path: str) -> str:
     return re.sub(r"\.[^.]+$", "", path.rsplit("/", 1)[-1])
+
+
+def discover(spark: SparkSession, base: str) -> dict[str, list[str]]:
+    """Yearly parquet files below a folder by year: ``YYYY.parquet`` and ``*YYYY_batch_N.parquet``, in order."""
+    out: dict[str, list[str]] = {}
+    for f in _hadoop_walk(spark, base):
+        name = next((p for p in reversed(f.split("/")) if p.endswith(".parquet")), "")
+        if m := re.search(r"(\d{4})(?:_batch_\d+)?\.parquet$", name):
+            whole = f[: f.index(name) + len(name)]
+            if whole not in out.setdefault(m[1], []):
+                out[m[1]].append(whole)
+    return dict(sorted(out.items()))
+
+
+def filing_texts(spark: SparkSession, base: str, ids: DataFrame, key: str = "doc_id", text_col: str = "full_text") -> DataFrame:
+    """Texts of the wanted documents, one row each: of several the one of the first year, then the least text."""
+    from ..contracts import union_relaxed
+    from ..operators.windows import first_per_key
+
+    parts = [spark.read.parquet(*files).select(key, text_col).withColumn("source_year", F.lit(year)) for year, files in discover(spark, base).items()]
+    if not parts:
+        return ids.select(key).limit(0).withColumn(text_col, F.lit(None).cast("string")).withColumn("source_year", F.lit(None).cast("string"))
+    return first_per_key(union_relaxed(parts).join(ids.select(key).distinct(), key, "left_semi"), [key], [F.col("source_year"), F.col(text_col)])
+
+
+def merge_batches(spark: SparkSession, base: str, out: str, files_per_year: int = 1) -> dict[str, int]:
+    """One folder a year from its batch files, rows verified: raises ValueError when what was written has other rows than were read."""
+    written = {}
+    for year, files in discover(spark, base).items():
+        df = spark.read.option("mergeSchema", "true").parquet(*files)
+        target = f"{out}/{year}.parquet"
+        df.coalesce(files_per_year).write.mode("overwrite").option("compression", "zstd").parquet(target)
+        written[year] = verify_copy(df, spark.read.parquet(target))
+    return written
+
+
+def verify_copy(source: DataFrame, copy: DataFrame) -> int:
+    """Rows of both if schema, count and an order-free checksum agree; raises ValueError otherwise."""
+    if [(f.name, f.dataType) for f in source.schema.fields] != [(f.name, f.dataType) for f in copy.schema.fields]:
+        raise ValueError("the copy has another schema")
+    check = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)"))).first()
+    a, b = check(source), check(copy)
+    if tuple(a) != tuple(b):
+        raise ValueError(f"the copy has {b[0]} rows, the source {a[0]}, or unlike values")
+    return a[0]
+
+
+def check_magic(spark: SparkSession, base: str) -> DataFrame:
+    """Parquet files below a folder and whether their first and last bytes are those of the format."""
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(base)
+    mark = F.lit(b"PAR1")
+    ok = (F.col("length") >= 12) & (F.substring("content", 1, 4) == mark) & (F.substring("content", -4, 4) == mark)
+    return rows.select("path", "length", ok.alias("valid"))
+
+
+def summarize_items(df: DataFrame, item_col: str = "item_id", text_col: str = "full_text") -> DataFrame:
+    """Per file of item rows: rows, documents, items, rows without text, and a status."""
+    g = df.groupBy(F.col("_metadata.file_name").alias("file")).agg(
+        F.count("*").alias("rows"), F.count_distinct("doc_id").alias("docs"), F.count_distinct(item_col).alias("items"), F.count(F.when(F.length(F.trim(F.coalesce(text_col, F.lit("")))) == 0, 1)).alias("without_text")
+    )
+    return g.withColumn("status", F.when(F.col("without_text") == F.col("rows"), "WARN_NO_TEXT").otherwise("OK"))
+
+
+def empty_files(spark: SparkSession, base: str, summary: DataFrame) -> DataFrame:
+    """Parquet files below a folder that a summary does not list, because they have no row: ``file, status``."""
+    names = [(f.rsplit("/", 1)[-1], "EMPTY") for f in _hadoop_walk(spark, base) if f.endswith(".parquet")]
+    return spark.createDataFrame(names, "file string, status string").join(summary.select("file"), "file", "left_anti")
+
+
+def header_conflicts(raw: DataFrame, text_col: str = "text", name_col: str = "name") -> DataFrame:
+    """Filing texts with the fields of header and file name, the header's winning, and flags where both have unlike ones."""
+    from ..operators.items import parse_filename, parse_header
+
+    out = raw.withColumns(parse_header(F.col(text_col))).withColumns(parse_filename(F.col(name_col)))
+    bare = lambda c: F.replace(F.col(c), F.lit("-"), F.lit(""))
+    listed = F.array_append(F.col("secondary_ciks"), F.col("primary_cik"))
+    out = out.withColumn("cik_conflict", F.coalesce(F.col("primary_cik").isNotNull() & ~F.array_contains(listed, F.col("file_cik")), F.lit(False)))
+    out = out.withColumn("accession_conflict", F.coalesce(bare("accession") != bare("file_accession"), F.lit(False)))
+    return out.withColumn("cik", F.coalesce("file_cik", "primary_cik")).withColumn("date", F.coalesce("filing_date", "file_date")).withColumn("accession_used", F.coalesce("accession", "file_accession"))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file in any store that Hadoop opens."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_manifest(spark: SparkSession, path: str, run: dict, tables: dict[str, DataFrame]) -> dict:
+    """A JSON manifest of a run: its settings, and schema and rows of each table."""
+    import json
+
+    manifest = run | {"tables": {n: {"rows": df.count(), "columns": {f.name: f.dataType.simpleString() for f in df.schema.fields}} for n, df in tables.items()}}
+    write_text(spark, path, json.dumps(manifest, indent=1, sort_keys=True, default=str))
+    return manifest
+
+
+def render_table(df: DataFrame, kind: str = "markdown", limit: int = 1000) -> str:
+    """A report table (at most ``limit`` rows; more raise) as markdown, csv or latex text."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a report table has at most {limit} rows")
+    show = lambda v: "" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
+    cells = [df.columns, *[[show(v) for v in r] for r in rows]]
+    if kind == "csv":
+        return "\n".join(",".join('"' + c.replace('"', '""') + '"' if re.search(r'[",\n]', c) else c for c in line) for line in cells) + "\n"
+    if kind == "latex":
+        body = [" & ".join(re.sub(r"([&%$#_{}])", r"\\\1", c) for c in line) + r" \\" for line in cells]
+        return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", r"\hline", body[0], r"\hline", *body[1:], r"\hline", r"\end{tabular}"]) + "\n"
+    lines = ["| " + " | ".join(c.replace("|", r"\|") for c in line) + " |" for line in cells]
+    return "\n".join([lines[0], "| " + " | ".join("---" for _ in df.columns) + " |", *lines[1:]]) + "\n"

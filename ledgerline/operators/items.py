@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ITEM = re.compile(r"^[ \t>*\-•]*(?:PART\s+[IV]{1,3}[\s,.:;\-]*)?ITEM\s*(\d{1,2}|[IVX]{1,5}(?![A-Za-z]))\s*([A-C]?)\s*[.:\-—)]?[ \t]*(.*)$", re.I | re.M)
+ITEM = re.compile(r"^[ \t>*\-•]*(?:PART[ \t]+[IV]{1,3}[ \t,.:;\-]*)?ITEM[ \t]*(\d{1,2}|[IVX]{1,5}(?![A-Za-z]))\s*([A-C]?)\s*[.:\-—)]?[ \t]*(.*)$", re.I | re.M)
 PART = re.compile(r"^[ \t]*PART\s+(I{1,3}|IV)\b[ \t.:\-]*(.*)$", re.I | re.M)
 CROSS = re.compile(r"(?:\bsee|\brefer(?:red)?\s+to|\bpursuant\s+to|\bunder|\bin)\s*$", re.I)
 ROMAN = {"I": 1, "II": 2, "III": 3, "IV": 4}

@@ -30,7 +30,7 @@ def asof_join(
     """All rows of ``left`` with ``payload`` columns, ``right_time`` and ``matched`` of the nearest row of ``right``.
 
     Backward: the latest right time at or before (``strict``: before) the left time; forward: the earliest at or after (after).
-    Of right rows with equal key and time the last by ``tiebreak`` wins. Null keys or times on the left stay, unmatched; null
+    Of right rows with equal key and time the last by ``tiebreak`` wins, or without one the last by a hash of its payload. Null keys or times on the left stay, unmatched; null
     right times are dropped. ``tolerance_days`` and ``valid_until`` (an inclusive end, null open) blank the payload of the nearest
     row afterwards, so a stale nearest row never gives way to an older valid one. Rows that are outdated stay ``matched`` false.
     """
@@ -42,24 +42,23 @@ def asof_join(
     for k in on:
         keyed_right = keyed_right.filter(F.col(k).isNotNull())
     packed = F.struct(F.col(right_time).alias("t"), *[F.col(c) for c in [*payload, *extra]])
-    order = F.struct(*[F.col(c) for c in tiebreak]) if tiebreak else F.lit(0)
-    r = keyed_right.groupBy(*on, F.col(right_time).alias("__t")).agg(F.max_by(packed, order).alias("__pick"))
     ltime, rtime = left.schema[left_time].dataType, right.schema[right_time].dataType
     time_type = ltime if ltime == rtime else "timestamp"
-    r = r.select(*on, F.col("__t").cast(time_type).alias("__t"), "__pick", F.lit(None).alias("__row")).withColumn("__side", F.lit(1 if strict else -1))
+    order = F.struct(*[F.col(c) for c in tiebreak]) if tiebreak else F.xxhash64(*[F.col(c) for c in [right_time, *payload, *extra]])
+    r = keyed_right.select(*on, F.col(right_time).cast(time_type).alias("__t"), packed.alias("__pick"), order.alias("__order"), F.lit(None).alias("__row")).withColumn("__side", F.lit(1 if strict else -1))
     rows = left.select(*on, F.col(left_time).cast(time_type).alias("__t"), F.struct(*columns).alias("__row")).withColumn("__side", F.lit(0))
     both = rows.unionByName(r, allowMissingColumns=True)
     partition: list = [F.col(k) for k in on]
     if period is not None:
         partition.append(period(F.col("__t")))
-    seq = [F.col("__t").desc() if forward else F.col("__t").asc(), F.col("__side").asc()]
-    window = Window.partitionBy(*partition).orderBy(*seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    if not partition:
-        window = Window.orderBy(*seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # of right rows with one time the greatest comes last, and so is the one found
+    seq = [F.col("__t").desc() if forward else F.col("__t").asc(), F.col("__side").asc(), F.col("__order").asc()]
+    window = (Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))).orderBy(*seq).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = F.last("__pick", ignorenulls=True).over(window)
     if period is not None:
         pick = F.min_by if forward else F.max_by
-        ends = r.groupBy(*on, period(F.col("__t")).alias("__p")).agg(pick("__pick", "__t").alias("__end"))
+        single = r.groupBy(*on, "__t").agg(F.max_by("__pick", "__order").alias("__pick"))
+        ends = single.groupBy(*on, period(F.col("__t")).alias("__p")).agg(pick("__pick", "__t").alias("__end"))
         by = Window.partitionBy(*on).orderBy(F.col("__p").desc() if forward else F.col("__p").asc()).rowsBetween(Window.unboundedPreceding, -1)
         spans = both.select(*on, period(F.col("__t")).alias("__p")).distinct().join(ends, [*on, "__p"], "left")
         spans = spans.withColumn("__before", F.last("__end", ignorenulls=True).over(by)).drop("__end")

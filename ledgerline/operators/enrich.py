@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..scratch import materialize
 from . import asof
 
 INSTITUTIONS = "holdings by institutions"
@@ -60,19 +61,19 @@ def alias_pairs(observations: DataFrame, tolerance: float = 1e-6, min_pairs: int
 
 
 def alias_groups(nodes: DataFrame, pairs: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """Least member of each connected group within a key: ``KYPERMNO, ric, canonical_ric``. Pointers are halved each round."""
-    spark = nodes.sparkSession
-    edges = pairs.select("KYPERMNO", "a", "b").unionByName(pairs.select("KYPERMNO", F.col("b").alias("a"), F.col("a").alias("b")))
+    """Least member of each connected group within a key: ``KYPERMNO, ric, canonical_ric``.
+
+    Every round takes the least label of neighbours and halves the pointers; it is written to the shared folder, so lineage stays short.
+    """
+    edges = materialize(pairs.select("KYPERMNO", "a", "b").unionByName(pairs.select("KYPERMNO", F.col("b").alias("a"), F.col("a").alias("b"))), "alias-edges")
     label = nodes.select("KYPERMNO", "ric").distinct().withColumn("canonical_ric", F.col("ric"))
     for _ in range(max_rounds):
         near = edges.join(label.select("KYPERMNO", F.col("ric").alias("b"), F.col("canonical_ric").alias("l")), ["KYPERMNO", "b"]).groupBy("KYPERMNO", F.col("a").alias("ric")).agg(F.min("l").alias("l"))
         hop = label.select("KYPERMNO", F.col("ric").alias("canonical_ric"), F.col("canonical_ric").alias("up"))
         after = label.join(hop, ["KYPERMNO", "canonical_ric"]).join(near, ["KYPERMNO", "ric"], "left")
-        after = after.select("KYPERMNO", "ric", F.least("canonical_ric", "up", "l").alias("canonical_ric"), F.col("canonical_ric").alias("old"))
-        after = after.checkpoint() if spark.sparkContext.getCheckpointDir() else after.persist()
-        changed = after.filter("old <> canonical_ric").limit(1).count()
+        after = materialize(after.select("KYPERMNO", "ric", F.least("canonical_ric", "up", "l").alias("canonical_ric"), F.col("canonical_ric").alias("old")), "alias-labels")
         label = after.drop("old")
-        if not changed:
+        if not after.filter("old <> canonical_ric").limit(1).count():
             return label
     raise RuntimeError("alias groups did not settle")
 

@@ -48,15 +48,17 @@ def signals(docs: DataFrame, lexicon: DataFrame, categories: Sequence[str], id_c
     their signals are null. A lexicon is small and fixed, so Spark broadcasts it within its size limit.
     """
     keys = list(by)
-    base = docs.select(*keys, id_col, T.n_tokens(F.col(text_col)).alias("total_tokens"))
-    universe = base.groupBy(*keys).agg(F.count("*").alias("__n"))
-    counts = docs.select(*keys, id_col, F.explode(T.tokens(F.col(text_col))).alias("token")).groupBy(*keys, id_col, "token").agg(F.count("*").alias("tf"))
-    vocabulary = lexicon.select("token").distinct()
+    # texts are split once: tokens outside the lexicon fold into one row a document before anything is shuffled
+    tokens = docs.select(*keys, id_col, F.explode_outer(T.tokens(F.col(text_col))).alias("token"))
+    tokens = tokens.join(lexicon.select("token", F.lit(True).alias("__used")).distinct(), "token", "left")
     if recognised is not None:
-        known = counts.join(recognised.select("token").distinct(), "token", "left_semi").groupBy(*keys, id_col).agg(F.sum("tf").alias("recognised_tokens"))
+        tokens = tokens.join(recognised.select("token", F.lit(1).alias("__known")).distinct(), "token", "left")
     else:
-        known = counts.groupBy(*keys, id_col).agg(F.sum("tf").alias("recognised_tokens"))
-    used = counts.join(vocabulary, "token", "left_semi")
+        tokens = tokens.withColumn("__known", F.when(F.col("token").isNotNull(), 1))
+    folded = tokens.groupBy(*keys, id_col, F.when(F.col("__used"), F.col("token")).alias("token")).agg(F.count(F.when(F.col("token").isNotNull(), 1)).alias("tf"), F.sum("__known").alias("__known"))
+    base = folded.groupBy(*keys, id_col).agg(F.sum("tf").alias("total_tokens"), F.coalesce(F.sum("__known"), F.lit(0)).alias("recognised_tokens"))
+    universe = base.groupBy(*keys).agg(F.count("*").alias("__n"))
+    used = folded.filter("token is not null").drop("__known")
     df = used.groupBy(*keys, "token").agg(F.count("*").alias("df"))
     joined = used.join(df, [*keys, "token"]).join(base, [*keys, id_col])
     joined = joined.join(F.broadcast(universe), keys) if keys else joined.crossJoin(F.broadcast(universe))
@@ -65,10 +67,10 @@ def signals(docs: DataFrame, lexicon: DataFrame, categories: Sequence[str], id_c
         *[F.sum(F.when(F.col("category") == c, F.col("tf"))).alias(f"{c}_tf") for c in categories],
         *[F.sum(F.when(F.col("category") == c, F.col("w"))).alias(f"{c}_w") for c in categories],
     )
-    out = base.join(known, [*keys, id_col], "left").join(sums, [*keys, id_col], "left")
+    out = base.join(sums, [*keys, id_col], "left")
     some = F.col("total_tokens") > 0
     return out.select(
-        *keys, id_col, "total_tokens", F.coalesce("recognised_tokens", F.lit(0)).alias("recognised_tokens"),
+        *keys, id_col, "total_tokens", "recognised_tokens",
         *[F.when(some, F.coalesce(f"{c}_tf", F.lit(0)) / F.col("total_tokens")).alias(f"{c}_prop") for c in categories],
         *[F.when(some, F.coalesce(f"{c}_w", F.lit(0.0))).alias(f"{c}_tfidf") for c in categories],
     )

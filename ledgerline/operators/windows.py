@@ -14,27 +14,51 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
     return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
+RANGES = 64
+
+
+def running_counts(counts: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``upto``, the sum of ``n`` over the values up to each one (per ``by``), and ``total``; values are unique per ``by``.
+
+    No task orders all values: they are cut into ``RANGES`` ranges at approximate quantiles, each range is ordered on its
+    own, and the ranges' sums are added up.
+    """
+    cuts = counts.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 1000).alias("__cuts"))
+    place = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
+    ranged = counts.crossJoin(F.broadcast(cuts)).withColumn("__r", place).drop("__cuts")
+    key = lambda *more: Window.partitionBy(*by, *more) if by or more else Window.partitionBy(F.lit(0))
+    sums = ranged.groupBy(*by, "__r").agg(F.sum("n").alias("__s"))
+    before = F.coalesce(F.sum("__s").over(key().orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*by, "__r", before.alias("__before"), F.sum("__s").over(key()).alias("total"))
+    inside = ranged.withColumn("__in", F.sum("n").over(key("__r").orderBy(value)))
+    return inside.join(sums, [*by, "__r"]).withColumn("upto", F.col("__in") + F.col("__before")).drop("__in", "__before", "__r")
+
+
 def nearest_quantile(df: DataFrame, column: str, quantiles: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Nearest-rank quantiles of non-null values: the value at position ``round(q * (n - 1))`` (halves up), per ``by``.
 
-    The values are counted first, so the ordering works on distinct values only.
+    The values are counted first, so the ordering works on distinct values only, range by range.
     """
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("v")).agg(F.count("*").alias("n"))
-    running = Window.partitionBy(*by).orderBy("v") if by else Window.partitionBy(F.lit(0)).orderBy("v")
-    whole = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    placed = counts.withColumn("upto", F.sum("n").over(running)).withColumn("total", F.sum("n").over(whole))
+    placed = running_counts(counts, "v", by)
     position = lambda q: F.floor(F.lit(q) * (F.col("total") - 1) + 0.5)
     picks = [F.min(F.when(F.col("upto") > position(q), F.col("v"))).alias(f"q{i}") for i, q in enumerate(quantiles)]
     return placed.groupBy(*by).agg(*picks) if by else placed.agg(*picks)
 
 
-def winsorize(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99, finite_only: bool = False) -> DataFrame:
-    """Clips a column to its nearest-rank quantiles; ``finite_only`` takes bounds from finite values and leaves the others."""
-    finite = F.col(column).isNotNull() & ~F.isnan(column) & (F.abs(F.col(column)) < float("inf"))
-    bounds = nearest_quantile(df.filter(finite) if finite_only else df, column, [low, high])
-    clipped = F.least(F.greatest(F.col(column), F.col("q0")), F.col("q1"))
-    value = F.when(F.col(column).isNotNull() & (finite if finite_only else F.lit(True)), clipped).otherwise(F.col(column))
-    return df.crossJoin(F.broadcast(bounds)).withColumn(column, value).drop("q0", "q1")
+def winsorize(df: DataFrame, column: str | Sequence[str], low: float = 0.01, high: float = 0.99, finite_only: bool = False) -> DataFrame:
+    """Clips columns to their nearest-rank quantiles over all rows; ``finite_only`` takes bounds from finite values and leaves the others."""
+    columns = [column] if isinstance(column, str) else list(column)
+    out = df
+    for i, c in enumerate(columns):
+        finite = F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+        bounds = nearest_quantile(df.filter(finite) if finite_only else df, c, [low, high])
+        out = out.crossJoin(F.broadcast(bounds.withColumnsRenamed({"q0": f"__lo{i}", "q1": f"__hi{i}"})))
+    for i, c in enumerate(columns):
+        finite = F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+        clipped = F.least(F.greatest(F.col(c), F.col(f"__lo{i}")), F.col(f"__hi{i}"))
+        out = out.withColumn(c, F.when(F.col(c).isNotNull() & (finite if finite_only else F.lit(True)), clipped).otherwise(F.col(c)))
+    return out.select(*df.columns)
 
 
 def rank_bucket(df: DataFrame, by: Sequence[str], order: Sequence[Column], buckets: int, out: str = "bucket") -> DataFrame:
@@ -59,8 +83,7 @@ def average_rank_bucket(df: DataFrame, by: Sequence[str], column: str, k: int) -
 def ecdf(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Exact distribution function at every distinct value: ``value, ecdf``."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    return counts.select(*by, "value", (F.sum("n").over(w.orderBy("value")) / F.sum("n").over(w)).alias("ecdf"))
+    return running_counts(counts, "value", by).select(*by, "value", (F.col("upto") / F.col("total")).alias("ecdf"))
 
 
 def attrition_ladder(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import text as T
 from ..operators import items, lexicon, reports, sampling, scores
+from ..scratch import scratch_path
 from .registry import query, rounded, table
 
 WORDS = {"negative": ["loss", "the", "and"], "positive": ["gain", "of", "to"], "uncertainty": ["may", "is"], "litigious": ["der", "die"]}
@@ -249,7 +250,7 @@ def stream_windows(spark, sf):
 
     path = f"{sf}/events.parquet"
     schema = spark.read.parquet(path).schema
-    root = _stream_folder(spark)
+    root = scratch_path(spark, "stream")
     stream = files.arrivals(spark, path if path.endswith("/") else f"{sf}/events*.parquet", schema, "*.parquet")
     out = files.windowed(stream, "ts", "6 hours", "1 day", ["event_type"], [F.count("*").alias("n"), F.sum("value").alias("total")])
     files.run_available(out, f"{root}/state", lambda batch, i: batch.write.mode("overwrite").parquet(f"{root}/out/batch={i}"), mode="complete")
@@ -257,15 +258,3 @@ def stream_windows(spark, sf):
     last = got.agg(F.max("batch").alias("b"))
     got = got.join(F.broadcast(last), got["batch"] == last["b"])
     return got.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "event_type", "n", rounded("total", 4).alias("total"))
-
-
-def _stream_folder(spark):
-    import tempfile
-    import uuid
-
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-

@@ -200,3 +200,9 @@ def wider_bucket(bucket: Column, n: Column) -> Column:
     need = F.when(n <= 128, 1).when(n <= 256, 2).otherwise(3)
     rank = F.greatest(mapped(bucket, order, F.lit(1)), need)
     return mapped(rank, {v: k for k, v in order.items()})
+
+
+def sic_code(c: Column) -> Column:
+    """An industry code of one to four digits as a number; anything else is null."""
+    bare = F.trim(c.cast("string"))
+    return F.when(bare.rlike(r"^\d{1,4}$"), bare.try_cast("int"))

@@ -136,10 +136,19 @@ def trim_item(body: str) -> str:
     return head if STUB.fullmatch(head) else text
 
 
+SPARSE = re.compile(r"(?<=[.:;!?])[ \t]+(?=ITEM[ \t]+\d{1,2}[A-C]?[ \t]*[.:\-])", re.I)
+
+
 def segment(text: str, form: str = "10-K") -> list[dict]:
-    """Items of a filing: the best heading of each item, ended by the next heading of larger order."""
+    """Items of a filing: the best heading of each item, ended by the next heading of larger order.
+
+    A text without headings at line starts (its line ends were lost) is tried again with lines broken before headings after an
+    end mark; breaks replace a blank, so offsets stay.
+    """
     if not text or form.endswith("/A"):
         return []
+    if not ITEM.search(text):
+        text = SPARSE.sub(lambda m: "\n".rjust(len(m[0])), text)
     groups: dict[tuple[int, int, str], list[Heading]] = {}
     annual, last, restarted = form.startswith("10-K"), (0, ""), False
     for h in headings(text, form):
@@ -158,8 +167,16 @@ def segment(text: str, form: str = "10-K") -> list[dict]:
     return out
 
 
-def extract_items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", form_col: str | None = None) -> DataFrame:
-    """One row per item of each document: part, id, offsets, text and status. Texts without headings give none."""
+def extract_items(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", form_col: str | None = None, archive: bool = False) -> DataFrame:
+    """One row per item of each document: part, id, offsets, text and status. Texts without headings give none.
+
+    ``archive`` takes texts as they come from the filing archive: its markup goes and wrapped headings are joined first, and
+    offsets are those of what remains.
+    """
+    if archive:
+        from .filing_text import join_wrapped_headings, strip_archive
+
+        docs = docs.withColumn(text_col, join_wrapped_headings(strip_archive(F.col(text_col))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -233,3 +233,53 @@ def effect_summary(estimates: DataFrame, observed: DataFrame, signal: str, value
     rows = observed if skipped is None else observed.join(skipped, "quarter", "left_anti")
     spread = rows.groupBy(signal).agg((F.percentile(value, F.lit(0.75)) - F.percentile(value, F.lit(0.25))).alias("iqr"))
     return estimates.join(spread, signal).withColumn("effect", F.col("estimate") * F.col("iqr"))
+
+
+def regression_tables(panel: DataFrame, tables: dict[str, dict], date: str, group: str | None = None, lags: int = 1) -> DataFrame:
+    """Several tables of regressions as one long result: ``table, outcome, signal_name, estimate, se, t, n``.
+
+    A table is ``{"outcomes", "signals", "controls", "where"}``; ``where`` is a condition on rows (a least number of tokens, ownership).
+    """
+    from ..contracts import union_relaxed
+
+    parts = []
+    for name, t in tables.items():
+        rows = panel.filter(t["where"]) if t.get("where") is not None else panel
+        parts.append(specification_grid(rows, t["outcomes"], t["signals"], t.get("controls", ()), date, group, lags).withColumn("table", F.lit(name)))
+    return union_relaxed(parts).select("table", "outcome", "signal_name", "estimate", "se", "t", "n")
+
+
+def quantile_suite(panel: DataFrame, outcome: str, signal: str, date: str, buckets: Sequence[int], group: str | None = None) -> DataFrame:
+    """The same regression with the signal as its quantile score, within quarters, for several numbers of quantiles."""
+    from ..contracts import union_relaxed
+    from .windows import average_rank_bucket
+
+    quarterly = panel.withColumn("__q", F.trunc(F.col(date), "quarter"))
+    parts = []
+    for k in buckets:
+        scored = average_rank_bucket(quarterly, ["__q"], signal, k).withColumnRenamed("score", "signal_score")
+        parts.append(specification_grid(scored, [outcome], ["signal_score"], [], date, group).withColumn("buckets", F.lit(k)))
+    return union_relaxed(parts).select("buckets", "estimate", "se", "t", "n")
+
+
+def signal_columns(df: DataFrame, prefixes: Sequence[str] = (), suffixes: Sequence[str] = ("_prop", "_tfidf")) -> list[str]:
+    """Names of text signals by prefix and suffix, in the order of the columns; none raises."""
+    found = [c for c in df.columns if c.endswith(tuple(suffixes)) and (not prefixes or c.startswith(tuple(prefixes)))]
+    if not found:
+        raise ValueError(f"no signal with prefix {list(prefixes)} and suffix {list(suffixes)}")
+    return found
+
+
+def analysis_panel(events: DataFrame, scopes: dict[str, DataFrame], policy: str) -> DataFrame:
+    """Events by text scope with the scope's signals: one row an event and scope that has it.
+
+    Every scope table carries ``cleaning_policy``; one of another policy, or a document twice, raises.
+    """
+    from ..contracts import assert_unique, union_relaxed
+
+    parts = []
+    for name, df in scopes.items():
+        if df.filter(~F.col("cleaning_policy").eqNullSafe(F.lit(policy))).limit(1).count():
+            raise ValueError(f"scope {name} was not cleaned under {policy}")
+        parts.append(assert_unique(df, ["doc_id"], f"scope {name}").drop("cleaning_policy").withColumn("text_scope", F.lit(name)))
+    return events.join(union_relaxed(parts), "doc_id")

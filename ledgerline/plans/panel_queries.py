@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import asof, windows
+from ..operators import asof, enrich, windows
 from .registry import query, rounded, table, text_date
 
 
@@ -125,9 +125,9 @@ def semi_gate(spark, sf):
     return table(spark, sf, "orders").join(allowed, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 def anti_gap(spark, sf):
-    seen = table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    seen = table(spark, sf, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").join(seen, "c_custkey", "left_anti").select("c_custkey")
 
 
@@ -143,12 +143,9 @@ def exact_then_unique_fallback(spark, sf):
     """Exact match on three keys; misses fall back to two where that is unique."""
     o = table(spark, sf, "orders").withColumn("day", F.col("o_orderdate").cast("date")).withColumn("y", F.year("day"))
     docs = o.filter("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "day", "y", F.col("o_orderpriority").alias("p"))
-    candidates = o.filter("o_orderstatus <> 'F'").groupBy("o_custkey", "day", "y", F.col("o_orderpriority").alias("p")).agg(F.max("o_totalprice").alias("exact"))
-    loose = candidates.groupBy("o_custkey", "y").agg(F.count("*").alias("n"), F.max("exact").alias("loose"))
-    out = docs.join(candidates.drop("y"), ["o_custkey", "day", "p"], "left").join(loose, ["o_custkey", "y"], "left")
-    status = F.when(F.col("exact").isNotNull(), "EXACT").when(F.col("n") == 1, "FALLBACK").when(F.col("n") > 1, "AMBIGUOUS_FALLBACK_REJECTED").otherwise("NO_MATCH")
-    value = F.coalesce("exact", F.when(F.col("n") == 1, F.col("loose")))
-    return out.select("o_orderkey", status.alias("status"), rounded(value, 4).alias("value"))
+    candidates = o.filter("o_orderstatus <> 'F'").groupBy("o_custkey", "day", "y", F.col("o_orderpriority").alias("p")).agg(F.max("o_totalprice").alias("value"))
+    out = enrich.exact_or_unique(docs, candidates, ["o_custkey", "day", "p"], ["o_custkey", "y"], ["value"])
+    return out.select("o_orderkey", F.col("match_status").alias("status"), rounded("value", 4).alias("value"))
 
 
 @query("""

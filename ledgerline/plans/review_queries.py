@@ -6,8 +6,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import enrich, filing_text, items, market, review, sampling, scores
+from ..operators import enrich, filing_text, items, lexicon, links, market, regress, review, sampling, scores
 from .registry import query, rounded, table, text_date
+from .suite_queries import _PANEL, _panel
 
 # Samples
 
@@ -456,3 +457,88 @@ def sentence_chunks(spark, sf):
     kept = F.when(whole == F.coalesce("text", F.lit("")), F.length("text"))
     return c.select("conv_id", "turn", kept.cast("long").alias("chars"))
 
+
+
+# Status tables, regression tables, scopes
+
+
+def _premerge(spark, sf):
+    from .market_queries import _filings, _links
+
+    daily = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") + 1).cast("int").alias("KYPERMNO"), F.col("l_shipdate").cast("date").alias("CALDT")).agg(F.sum("l_quantity").alias("VOL"))
+    return links.premerge_artifacts(_filings(spark, sf), links.align_to(_links(spark, sf), links._schema(spark)), daily, links.join_spec("filing_date_or_next"))
+
+
+def _premerge_sql() -> str:
+    from .market_queries import _LINK_SQL
+
+    return _LINK_SQL + """,
+cal AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS day FROM lineitem), dl AS (SELECT DISTINCT l_suppkey + 1 AS permno, CAST(l_shipdate AS DATE) AS dd FROM lineitem), b AS (SELECT permno, min(dd) AS lo, max(dd) AS hi FROM dl GROUP BY 1),
+al AS (SELECT x.*, cal.day AS ad FROM (SELECT *, CASE WHEN reason = 'OK' THEN permno END AS pm FROM res) x ASOF LEFT JOIN cal ON x.fd <= cal.day), j AS (SELECT al.*, dl.dd FROM al ASOF LEFT JOIN dl ON al.pm = dl.permno AND al.ad <= dl.dd),
+st AS (SELECT j.*, CASE WHEN reason <> 'OK' THEN reason WHEN ad IS NULL OR lo IS NULL OR ad < lo OR ad > hi THEN 'OUT_OF_CCM_COVERAGE' WHEN dd IS NULL OR datediff('day', ad, dd) > 14 THEN 'NO_CCM_ROW_FOR_DATE' ELSE 'OK' END AS code FROM j LEFT JOIN b ON j.pm = b.permno)
+"""
+
+
+@query(_premerge_sql() + "SELECT doc_id, code, strftime(ad, '%Y-%m-%d') AS aligned, CAST(datediff('day', fd, ad) AS BIGINT) AS align_lag, CAST(cands AS BIGINT) AS candidates, code = 'OK' AS matched FROM st")
+def match_status_table(spark, sf):
+    """The fixed status table of the whole path, one row a document."""
+    s = _premerge(spark, sf)["status"]
+    return s.select("doc_id", F.col("match_reason_code").alias("code"), text_date("aligned_caldt").alias("aligned"), F.col("alignment_lag_days").cast("long").alias("align_lag"), F.col("link_candidate_count").alias("candidates"), F.col("match_flag").alias("matched"))
+
+
+@query(_premerge_sql() + ", k AS (SELECT cik, count(*) AS n, count(DISTINCT CASE WHEN permno > 0 THEN permno END) AS s FROM (SELECT DISTINCT * FROM l) GROUP BY 1) SELECT doc_id, code, coalesce(k.n, 0) AS link_rows, coalesce(k.s, 0) AS securities FROM st LEFT JOIN k USING (cik) WHERE code <> 'OK'")
+def unmatched_documents(spark, sf):
+    """Documents without a match, with their filer's links."""
+    u = _premerge(spark, sf)["unmatched"]
+    return u.select("doc_id", F.col("match_reason_code").alias("code"), "link_rows", F.col("link_securities").alias("securities"))
+
+
+def _slopes(where: str, name: str, signal: str) -> str:
+    return f"""SELECT '{name}' AS tab, '{signal}' AS sig, q, sum(n) AS n, sum(xy) / sum(xx) AS b FROM (SELECT q, ind, count(*) AS n, covar_pop({signal}, y) * count(*) AS xy, var_pop({signal}) * count(*) AS xx FROM o WHERE {where} GROUP BY 1, 2) GROUP BY q HAVING sum(n) > count(*) + 1 AND sum(xx) > 0"""
+
+
+@query(_PANEL + ", f AS (" + " UNION ALL ".join(_slopes(w, n, s) for n, w in (("all", "true"), ("owned", "h > 2")) for s in ("s", "c")) + """),
+w AS (SELECT *, n / sum(n) OVER (PARTITION BY tab, sig) AS w FROM f), p AS (SELECT *, w * (b - m) AS psi FROM (SELECT *, sum(w * b) OVER (PARTITION BY tab, sig) AS m FROM w)), g AS (SELECT *, lag(psi) OVER (PARTITION BY tab, sig ORDER BY q) AS l1 FROM p)
+SELECT tab AS "table", 'y' AS outcome, sig AS signal_name, round(max(m), 6) AS estimate, round(sqrt(greatest(sum(psi * psi) + sum(psi * l1), 0)), 6) AS se, count(*) AS n FROM g GROUP BY 1, 2, 3""")
+def regression_tables(spark, sf):
+    """Two tables of regressions, one of them on a part of the rows, as one long result."""
+    tables = {"all": {"outcomes": ["y"], "signals": ["s", "c"]}, "owned": {"outcomes": ["y"], "signals": ["s", "c"], "where": F.col("h") > 2}}
+    out = regress.regression_tables(_panel(spark, sf).drop("k"), tables, "d", "ind")
+    return out.select("table", "outcome", "signal_name", rounded("estimate").alias("estimate"), rounded("se").alias("se"), "n")
+
+
+def _scored(k: int) -> str:
+    return f"""SELECT {k} AS buckets, q, ind, y, (least(greatest(ceil(pct * {k}), 1), {k}) - 1) / ({k} - 1.0) AS x FROM (SELECT q, ind, y, (rank() OVER (PARTITION BY q ORDER BY s) + (count(*) OVER (PARTITION BY q, s) - 1) / 2.0) / count(s) OVER (PARTITION BY q) AS pct FROM o)"""
+
+
+@query(_PANEL + ", z AS (" + " UNION ALL ".join(map(_scored, (4, 5, 10))) + """), i AS (SELECT buckets, q, ind, count(*) AS n, covar_pop(x, y) * count(*) AS xy, var_pop(x) * count(*) AS xx FROM z GROUP BY 1, 2, 3), f AS (SELECT buckets, q, sum(n) AS n, sum(xy) / sum(xx) AS b FROM i GROUP BY 1, 2 HAVING sum(n) > count(*) + 1 AND sum(xx) > 0),
+w AS (SELECT *, n / sum(n) OVER (PARTITION BY buckets) AS w FROM f), p AS (SELECT *, w * (b - m) AS psi FROM (SELECT *, sum(w * b) OVER (PARTITION BY buckets) AS m FROM w)), g AS (SELECT *, lag(psi) OVER (PARTITION BY buckets ORDER BY q) AS l1 FROM p)
+SELECT buckets, round(max(m), 6) AS estimate, round(sqrt(greatest(sum(psi * psi) + sum(psi * l1), 0)), 6) AS se, count(*) AS n FROM g GROUP BY 1""")
+def quantile_suite(spark, sf):
+    """The regression with quantile scores of the signal, for quartiles, quintiles and deciles."""
+    out = regress.quantile_suite(_panel(spark, sf).drop("h", "k"), "y", "s", "d", (4, 5, 10), "ind")
+    return out.select("buckets", rounded("estimate").alias("estimate"), rounded("se").alias("se"), "n")
+
+
+@query("""
+WITH i AS (SELECT doc_id, 'A' AS scope, text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'B', text FROM documents WHERE doc_id % 3 = 0), x AS (SELECT * FROM i UNION ALL SELECT a.doc_id, 'A+B', a.text || chr(10) || chr(10) || b.text FROM i a JOIN i b ON a.doc_id = b.doc_id AND a.scope = 'A' AND b.scope = 'B' WHERE a.text IS NOT NULL),
+t AS (SELECT scope, doc_id, lower(unnest(TOK)) AS token FROM x), c AS (SELECT scope, doc_id, token, count(*) AS tf FROM t WHERE token IN ('the', 'and', 'of') GROUP BY 1, 2, 3), n AS (SELECT scope, doc_id, CAST(len(TOK) AS BIGINT) AS l FROM x), u AS (SELECT scope, count(*) AS n FROM n GROUP BY 1), d AS (SELECT scope, token, count(*) AS df FROM c GROUP BY 1, 2),
+w AS (SELECT c.scope, c.doc_id, sum(tf) AS tf, sum((1 + ln(tf)) / (1 + ln(l)) * ln(u.n / df)) AS w FROM c JOIN d USING (scope, token) JOIN n USING (scope, doc_id) JOIN u USING (scope) GROUP BY 1, 2)
+SELECT n.scope, n.doc_id, l AS total_tokens, round(CASE WHEN l > 0 THEN coalesce(tf, 0) / l END, 8) AS tone_prop, round(CASE WHEN l > 0 THEN coalesce(w, 0) END, 6) AS tone_tfidf FROM n LEFT JOIN w USING (scope, doc_id)
+""".replace("TOK", r"regexp_extract_all(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '([A-Za-z])-\s*\n\s*([A-Za-z])', '\1\2', 'g'), '[A-Za-z]{2,}(?:[-''][A-Za-z]+)*')"))
+def scope_signals(spark, sf):
+    """Dictionary signals by text scope, each with its own universe, and of two scopes put together."""
+    d = table(spark, sf, "documents")
+    part = lambda n, m: d.filter(F.col("doc_id") % m == 0).select("doc_id", F.lit(n).alias("item_id"), F.col("text").alias("full_text"), F.lit("1").alias("cik_10"), F.to_date(F.lit("2000-01-01")).alias("filing_date"))
+    both = part("A", 2).unionByName(part("B", 3))
+    every = both.unionByName(lexicon.combined_scope(both, "A", "B", "A+B").select(both.columns))
+    out = lexicon.signals(every, lexicon.lexicon_frame(spark, {"tone": ["the", "and", "of"]}), ["tone"], "doc_id", "full_text", by=["item_id"])
+    return out.select(F.col("item_id").alias("scope"), "doc_id", "total_tokens", *[rounded(c, n).alias(c) for c, n in zip(regress.signal_columns(out), (8, 6), strict=True)])
+
+
+@query("SELECT k, TRY_CAST(CASE WHEN regexp_full_match(trim(c), '[0-9]{1,4}') THEN trim(c) END AS BIGINT) AS sic FROM (SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN ' ' || (o_custkey % 9999) || ' ' WHEN 1 THEN 'x1' WHEN 2 THEN NULL WHEN 3 THEN '12345' ELSE CAST(o_custkey % 100 AS VARCHAR) END AS c FROM orders)")
+def industry_codes(spark, sf):
+    """Industry codes from text, guarded."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    t = F.when(k % 5 == 0, F.concat(F.lit(" "), c % 9999, F.lit(" "))).when(k % 5 == 1, "x1").when(k % 5 == 3, "12345").when(k % 5 == 4, (c % 100).cast("string"))
+    return table(spark, sf, "orders").select(k.alias("k"), X.sic_code(t).cast("long").alias("sic"))

@@ -132,10 +132,12 @@ def corr_matrix(spark, sf):
     return out.withColumn("corr", rounded("corr", 8))
 
 
-@query("SELECT coalesce(source, 'TOTAL') AS source, count(*) AS filings, count(*) FILTER (WHERE l.doc_id IS NULL) AS without_items FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY ROLLUP (source)")
+@query("SELECT coalesce(source, 'TOTAL') AS source, count(*) AS filings, count(*) FILTER (WHERE doc_id % 3 = 0) AS without_items FROM documents GROUP BY ROLLUP (source)")
 def no_item_stats_with_total(spark, sf):
-    """Counts per group and in total, in one pass."""
-    return items.no_item_report(table(spark, sf, "documents"), table(spark, sf, "labels"), "source")
+    """Filings whose text gives no item, per group and in total."""
+    d = table(spark, sf, "documents")
+    text = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("Item 1. Business\n"), F.coalesce("text", F.lit(""))))
+    return items.no_item_report(d, items.extract_items(d.select("doc_id", text.alias("text"))), "source")
 
 
 @query("""

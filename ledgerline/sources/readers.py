@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,10 +42,15 @@ def write_zstd(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> No
 
 
 def year_shards(spark: SparkSession, path: str, key: Sequence[str]) -> DataFrame:
-    """Files named by year with a locator ``source_record_id`` of file stem and key, which does not depend on physical order."""
+    """Files named by year with a locator: ``source_record_id`` of file stem, key and the row's number among those of its key.
+
+    It does not depend on physical order; rows that share a key are numbered by a hash of the whole row.
+    """
     df = spark.read.option("mergeSchema", "true").parquet(path)
     stem = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.parquet)?$", 1)
-    return df.withColumn("source_year_file", stem).withColumn("source_record_id", F.concat_ws(":", "source_year_file", *key))
+    w = Window.partitionBy("source_year_file", *key).orderBy(F.xxhash64(*df.columns))
+    numbered = df.withColumn("source_year_file", stem).withColumn("source_row", F.row_number().over(w))
+    return numbered.withColumn("source_record_id", F.concat_ws(":", "source_year_file", *key, "source_row"))
 
 
 def zipped_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -218,3 +223,19 @@ def render_table(df: DataFrame, kind: str = "markdown", limit: int = 1000) -> st
         return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", r"\hline", body[0], r"\hline", *body[1:], r"\hline", r"\end{tabular}"]) + "\n"
     lines = ["| " + " | ".join(c.replace("|", r"\|") for c in line) + " |" for line in cells]
     return "\n".join([lines[0], "| " + " | ".join("---" for _ in df.columns) + " |", *lines[1:]]) + "\n"
+
+
+def reuse_or_build(spark: SparkSession, path: str, config: dict, build) -> tuple[DataFrame, bool]:
+    """The table of a configuration: read where a run with the same configuration has written it, else built and written.
+
+    The folder is named by a hash of the configuration, so a changed setting never reads an old result. Tells whether it was built.
+    """
+    import hashlib
+    import json
+
+    name = hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:24]
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/_SUCCESS")
+    fresh = not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    if fresh:
+        build().write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{path}/{name}"), fresh

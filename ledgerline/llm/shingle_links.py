@@ -137,7 +137,7 @@ def _scan(percent: int, ranges: int):
             cut[-1] = len(values)
             rows = [(name % ranges, name, None, ids.tobytes() + need.astype(np.int32).tobytes())]
             rows += [(k, name, _packed(values[i:j]), owners[i:j].tobytes()) for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if j > i]
-            return pd.DataFrame(rows, columns=["range", "chunk", "prints", "owners"]).assign(doc=None, id=0, n=0)
+            return pd.DataFrame(rows, columns=["range", "chunk", "prints", "owners"]).assign(doc=None, text=0, id=0, n=0)
 
         for pdf in batches:
             ids, sizes = [], []
@@ -157,7 +157,7 @@ def _scan(percent: int, ranges: int):
                         size = 0
                         seen.clear()
                         needs.clear()
-            yield pd.DataFrame({"range": -1, "chunk": 0, "prints": None, "owners": None, "doc": pdf["doc"], "id": ids, "n": sizes})
+            yield pd.DataFrame({"range": -1, "chunk": 0, "prints": None, "owners": None, "doc": pdf["doc"], "text": pdf["print"], "id": ids, "n": sizes})
         if seen:
             yield chunk()
         release_memory()
@@ -499,6 +499,11 @@ def _in_blocks(rows: DataFrame, key: str, block, columns: list[str]) -> DataFram
     return whole.union(dealt)
 
 
+def text_print(text_col: str):
+    """A hash that tells texts of one id apart; null is empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
 def link_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """Returns ``id_col, n_shingles, component_id``, one row per input row.
 
@@ -506,15 +511,20 @@ def link_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     words links with nothing and has its own id. Equal texts and repeated rows link. Null texts have no words. Other columns
     are ignored. Empty input: no rows. Shingles and sets are known by 64-bit hashes.
     """
+    return _groups(docs, id_col, text_col, percent).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """One row per input row: ``doc, text`` (its print), ``n, component_id, root`` (of the group of sets, null without words)."""
     spark = docs.sparkSession
     short_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).cast("string").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col).cast("string").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), text_print(text_col).alias("print"))
 
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = max(16, size // (12 * RANGE))  # a word and its space take six bytes, and half of the shingles count
-    scanned = materialize(texts.mapInPandas(_scan(percent, ranges), "doc string, id long, n long, range long, chunk long, prints binary, owners binary"), "sets")
-    rows = scanned.filter("range < 0").select(F.col("doc").cast(kind).alias("doc"), "id", "n")
+    scanned = materialize(texts.mapInPandas(_scan(percent, ranges), "doc string, text long, id long, n long, range long, chunk long, prints binary, owners binary"), "sets")
+    rows = scanned.filter("range < 0").select(F.col("doc").cast(kind).alias("doc"), "text", "id", "n")
     met = scanned.filter("range >= 0").select("range", "chunk", "prints", "owners").groupBy("range").applyInPandas(_repeated, "chunk long, names binary, owners binary")
     lasting = met.groupBy("chunk").applyInPandas(_lasting, "id long").distinct()
     per_set = rows.filter("n > 0").groupBy("id").agg(F.min("doc").alias("least"), F.min(slot(F.col("doc"))).alias("slot"), F.min("n").alias("n"))
@@ -547,26 +557,32 @@ def link_shingles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = reached.union(reached.select("component", "component").distinct())
     by_root = members.join(roots, F.col("id") == F.col("vertex")).select("id", "least", "component")
     least = by_root.groupBy("component").agg(F.min("least").alias("component_id"))
-    per_set = per_set.select("id", "least").join(by_root.select("id", "component"), "id", "left").join(least, "component", "left").select("id", F.coalesce("component_id", "least").alias("component_id"))
-    own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc")).otherwise(F.col("doc"))
-    return rows.join(per_set, "id", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    per_set = per_set.select("id", "least").join(by_root.select("id", "component"), "id", "left").join(least, "component", "left")
+    per_set = per_set.select("id", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "id").alias("root"))
+    words = F.col("n") > 0
+    own = F.when(words, F.coalesce("component_id", "doc")).otherwise(F.col("doc"))
+    return rows.join(per_set, "id", "left").select("doc", "text", "n", own.alias("component_id"), F.when(words, F.col("root")).alias("root"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
-    """Rows of ``docs``, all columns: of each group of linked documents the one with the least id stays.
+    """Rows of ``docs``, all columns: of each group of linked documents one row stays, that of the least id.
 
-    Rows of one group that share that id are reduced to one of them; documents without words (null and empty texts too) all
-    stay. A null id stays only where its group has no other id. Columns may have any names. Empty input: no rows.
+    A null id stays only where its group has no other id; of several texts of that id the one of least hash stays, and of
+    repeated rows one. Documents without words (null and empty texts too) all stay. Columns may have any names. Empty input: no rows.
     """
-    links = materialize(link_shingles(docs, id_col, text_col, percent), "groups")
-    rest = links.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("key")).distinct()
-    again = links.filter("n_shingles > 0").groupBy(F.col(id_col).alias("key"), "component_id").count().filter("count > 1").select("key").distinct()
-    listed = materialize(rest.select("key", F.lit(True).alias("gone")).union(again.select("key", F.lit(False).alias("gone"))), "listed")
-    clear, unsure = perhaps(docs, F.col(id_col), listed)
-    row = unsure.select(F.struct(*unsure.columns).alias("row"))  # the caller's names stay inside a struct
-    same = F.col("row")[id_col].eqNullSafe(F.col("key"))
-    kept = row.join(listed.filter("gone").select("key"), same, "left_anti")
+    links = materialize(_groups(docs, id_col, text_col, percent), "groups").filter("root is not null").select("doc", "text", "root")
+    sort = F.struct(F.col("doc").isNull().alias("none"), "doc", "text")
+    rows = links.groupBy("root", "doc", "text").agg(F.count("*").alias("n"))
+    first = rows.groupBy("root").agg(F.min(sort).alias("first"))
+    placed = rows.join(first, "root")
+    is_first = F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("text") == F.col("first.text"))
+    key = lambda doc, text: F.concat_ws("|", F.coalesce(doc.cast("string"), F.lit("")), text.cast("string"), doc.isNull().cast("string"))
+    name = key(F.col("doc"), F.col("text")).alias("key")
+    listed = materialize(placed.filter(~is_first).select(name, F.lit(True).alias("gone")).union(placed.filter(is_first & (F.col("n") > 1)).select(name, F.lit(False).alias("gone"))), "listed")
+    clear, unsure = perhaps(docs, key(F.col(id_col), text_print(text_col)), listed)
+    row = unsure.select(F.struct(*unsure.columns).alias("row"), key(F.col(id_col), text_print(text_col)).alias("key"))  # the caller's names stay inside a struct
+    kept = row.join(listed.filter("gone").select("key"), "key", "left_anti")
     twice = listed.filter("NOT gone").select("key")
-    single = kept.join(twice, same, "left_anti")
-    repeated = kept.join(twice, same, "left_semi").groupBy(F.col("row")[id_col].alias("key")).agg(F.first("row").alias("row")).select("row")
+    single = kept.join(twice, "key", "left_anti").select("row")
+    repeated = kept.join(twice, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row")
     return clear.union(single.union(repeated).select("row.*"))

@@ -336,6 +336,13 @@ def test_keep_one(spark, texts):
     assert sorted(map(repr, kept)) == sorted({repr(d) for d, _, c in want if d == c})
 
 
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    long = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, long("a"), "x"), (5, long("a"), "x"), (5, long("b"), "x"), (None, long("c"), "x"), (None, long("d"), "x"), (None, long("d"), "x"), (None, long("b"), "x"), (7, None, "x"), (7, "", "x"), (8, long("e"), "x"), (8, long("e").replace("e7 ", "zz "), "x")]
+    kept = sorted(((r["doc_id"], (r["text"] or "")[:2]) for r in shingle_links.keep_one(frame(spark, rows)).collect()), key=repr)
+    assert kept == sorted([(1, "a0"), (5, "b0"), (None, "c0"), (None, "d0"), (7, ""), (7, ""), (8, "e0")], key=repr)
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 150, (120, 2))] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, i) for i in range(5001, 5100)]

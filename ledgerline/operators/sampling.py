@@ -119,3 +119,29 @@ def example_pack(df: DataFrame, by: Sequence[str], score: str, least: float, k:
 def first_n(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each group in a total order."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("__n") <= n).drop("__n")
+
+
+def year_covering_sample(df: DataFrame, entity: str, year: str, n: int, least: int, seed: object) -> DataFrame:
+    """``n`` entities (or all) so that every year has ``least`` of them where there are that many: ``entity, years``.
+
+    Entities with the same years are alike, so only their classes come to the driver: seats go one by one to the class that
+    serves most years still short (ties: more entities, then the years' names), then to the largest classes; which entities
+    of a class get its seats follows from a hash.
+    """
+    masks = df.filter(F.col(entity).isNotNull() & F.col(year).isNotNull()).groupBy(entity).agg(F.array_join(F.array_sort(F.collect_set(F.col(year).cast("string"))), ",").alias("years"))
+    left = {r["years"]: r["count"] for r in masks.groupBy("years").count().collect()}
+    have: dict[str, int] = {}
+    for years, k in left.items():
+        for y in years.split(","):
+            have[y] = have.get(y, 0) + k
+    short = {y: min(least, k) for y, k in have.items()}
+    seats: dict[str, int] = {}
+    for _ in range(min(n, sum(left.values()))):
+        spare = [m for m, k in left.items() if k > 0]
+        best = min(spare, key=lambda m: (-sum(short[y] > 0 for y in m.split(",")), -left[m], m))
+        seats[best] = seats.get(best, 0) + 1
+        left[best] -= 1
+        for y in best.split(","):
+            short[y] -= 1
+    quotas = df.sparkSession.createDataFrame(sorted(seats.items()), "years string, quota int")
+    return quota_sample(masks, ["years"], quotas, seed, [entity]).select(entity, "years")

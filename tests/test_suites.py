@@ -109,3 +109,15 @@ def test_forms_and_exact_or_unique(spark):
 
 def test_registered_names_are_unique():
     assert len(catalog.QUERIES) > 150 and set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_sample_that_covers_years(spark):
+    rows = [(e, 2000 + y) for e in range(60) for y in range(6) if (e * 7 + y * y) % 5 < 2 + e % 3] + [(100, 2010), (None, 2000)]
+    df = spark.createDataFrame(rows, "e int, y int")
+    years = {y: {e for e, z in rows if z == y and e is not None} for y in {y for _, y in rows}}
+    for n, least in ((12, 3), (25, 8), (500, 2)):
+        got = {r["e"] for r in sampling.year_covering_sample(df, "e", "y", n, least, 5).collect()}
+        assert len(got) == min(n, len({e for e, _ in rows if e is not None}))
+        assert all(len(got & es) >= min(least, len(es)) for es in years.values())
+    again = [sorted(map(tuple, sampling.year_covering_sample(d, "e", "y", 12, 3, 5).collect())) for d in (df, df.repartition(5))]
+    assert again[0] == again[1] and sampling.year_covering_sample(df.limit(0), "e", "y", 3, 1, 5).count() == 0

@@ -1,11 +1,11 @@
-"""Text expressions: tokens, counts, headings, and the pluggable interfaces of scorers and splitters."""
+"""Text expressions: tokens and their counts."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: A token: two letters or more, parts joined by single hyphens or apostrophes.
+#: Fixed value: a token has two letters or more, its parts are joined by single hyphens or apostrophes.
 TOKEN = r"[A-Za-z]{2,}(?:[-'][A-Za-z]+)*"
 
 
@@ -17,18 +17,3 @@ def tokens(text: Column) -> Column:
 
 def n_tokens(text: Column) -> Column:
     return F.coalesce(F.size(tokens(text)), F.lit(0)).cast("long")
-
-
-def lines(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n", -1)
-
-
-def collapse_blank(text: Column) -> Column:
-    """Runs of blank lines to one, trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"))
-
-
-def drop_page_lines(text: Column) -> Column:
-    """Lines that hold only a page number in a common form."""
-    page = r"(?mi)^[ \t]*(?:page[ \t]+\d+(?:[ \t]+of[ \t]+\d+)?|-+[ \t]*\d{1,3}[ \t]*-+|table of contents)[ \t]*$\n?"
-    return F.regexp_replace(text, page, "")

@@ -38,16 +38,21 @@ REGIMES_10Q = [
 ]
 
 
+#: Field names of the archive's header, and the form of its file names.
+HEADER_FIELDS = {"accession": r"ACCESSION NUMBER:\s*([0-9-]+)", "form_type": r"CONFORMED SUBMISSION TYPE:\s*(\S+)", "period": r"CONFORMED PERIOD OF REPORT:\s*(\d{8})", "filed": r"FILED AS OF DATE:\s*(\d{8})", "cik": r"CENTRAL INDEX KEY:\s*(\d{1,10})"}
+FILE_NAME = r"(\d{8})_([^_]+)_edgar_data_(\d+)_([0-9-]+)\.txt$"
+
+
 def parse_header(text: Column, limit: int = 8000) -> dict[str, Column]:
     """Fields of a filing's header."""
     head = F.substring(text, 1, limit)
     field = lambda p: F.nullif(F.trim(F.regexp_extract(head, p, 1)), F.lit(""))
-    ciks = F.regexp_extract_all(head, F.lit(r"CENTRAL INDEX KEY:\s*(\d{1,10})"), F.lit(1))
+    ciks = F.regexp_extract_all(head, F.lit(HEADER_FIELDS["cik"]), F.lit(1))
     return {
-        "accession": field(r"ACCESSION NUMBER:\s*([0-9-]+)"),
-        "form_type": field(r"CONFORMED SUBMISSION TYPE:\s*(\S+)"),
-        "period_end": F.try_to_timestamp(field(r"CONFORMED PERIOD OF REPORT:\s*(\d{8})"), F.lit("yyyyMMdd")).cast("date"),
-        "filing_date": F.try_to_timestamp(field(r"FILED AS OF DATE:\s*(\d{8})"), F.lit("yyyyMMdd")).cast("date"),
+        "accession": field(HEADER_FIELDS["accession"]),
+        "form_type": field(HEADER_FIELDS["form_type"]),
+        "period_end": F.try_to_timestamp(field(HEADER_FIELDS["period"]), F.lit("yyyyMMdd")).cast("date"),
+        "filing_date": F.try_to_timestamp(field(HEADER_FIELDS["filed"]), F.lit("yyyyMMdd")).cast("date"),
         "primary_cik": F.lpad(F.get(ciks, F.lit(0)), 10, "0"),
         "secondary_ciks": F.transform(F.slice(F.array_distinct(ciks), 2, 1000), lambda c: F.lpad(c, 10, "0")),
     }
@@ -55,8 +60,7 @@ def parse_header(text: Column, limit: int = 8000) -> dict[str, Column]:
 
 def parse_filename(name: Column) -> dict[str, Column]:
     """Date, form, CIK and accession of names like ``20081103_10-K_edgar_data_123_0000000123-08-000001.txt``."""
-    p = r"(\d{8})_([^_]+)_edgar_data_(\d+)_([0-9-]+)\.txt$"
-    part = lambda i: F.nullif(F.regexp_extract(name, p, i), F.lit(""))
+    part = lambda i: F.nullif(F.regexp_extract(name, FILE_NAME, i), F.lit(""))
     return {"file_date": F.try_to_timestamp(part(1), F.lit("yyyyMMdd")).cast("date"), "file_form": part(2), "file_cik": F.lpad(part(3), 10, "0"), "file_accession": part(4)}
 
 

@@ -18,7 +18,7 @@ def quota_sample(df: DataFrame, strata: Sequence[str], quotas: DataFrame, seed:
     """The ``quota`` rows of smallest key per stratum, with ``stratum_rank``; nested samples are lower quotas of the same seed."""
     ranked = df.withColumn("selection_key", selection_key(seed, *key))
     ranked = ranked.withColumn("stratum_rank", F.row_number().over(Window.partitionBy(*strata).orderBy("selection_key", *key)))
-    return ranked.join(F.broadcast(quotas), list(strata)).filter(F.col("stratum_rank") <= F.col("quota")).drop("quota")
+    return ranked.join(quotas, list(strata)).filter(F.col("stratum_rank") <= F.col("quota")).drop("quota")
 
 
 def check_quota(sample: DataFrame, strata: Sequence[str], quotas: DataFrame) -> None:

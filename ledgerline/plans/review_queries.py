@@ -6,7 +6,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import enrich, filing_text, items, lexicon, links, market, regress, review, sampling, scores
+from ..operators import enrich, events, filing_text, items, lexicon, links, market, regress, review, sampling, scores
+from ..scratch import scratch_path
+from ..sources import readers
+from .composite_queries import _feeds
 from .registry import query, rounded, table, text_date
 from .suite_queries import _PANEL, _panel
 
@@ -542,3 +545,54 @@ def industry_codes(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     t = F.when(k % 5 == 0, F.concat(F.lit(" "), c % 9999, F.lit(" "))).when(k % 5 == 1, "x1").when(k % 5 == 3, "12345").when(k % 5 == 4, (c % 100).cast("string"))
     return table(spark, sf, "orders").select(k.alias("k"), X.sic_code(t).cast("long").alias("sic"))
+
+
+# Sources: tables written to the shared folder and read again
+
+
+def _batches(spark, sf):
+    """Documents as yearly batch files below a scratch folder."""
+    root = scratch_path(spark, "batches")
+    d = table(spark, sf, "documents").select("doc_id", F.col("text").alias("full_text"), F.col("source").alias("cik_10"))
+    for year in (2001, 2002, 2003):
+        for part in (1, 2):
+            keep = (F.col("doc_id") % 3 == year - 2001) & (F.col("doc_id") % 2 == part - 1) | (F.col("doc_id") == 0)
+            d.filter(keep).write.parquet(f"{root}/{year}_batch_{part}.parquet")
+    return root
+
+
+@query("SELECT y AS year, count(*) FILTER (WHERE doc_id % 3 = y - 2001 OR doc_id = 0) + max(CASE WHEN doc_id = 0 THEN 1 ELSE 0 END) AS n, CAST(count(text) FILTER (WHERE doc_id % 3 = y - 2001 OR doc_id = 0) + max(CASE WHEN doc_id = 0 AND text IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS with_text FROM documents, (VALUES (2001), (2002), (2003)) v(y) GROUP BY 1")
+def yearly_batches(spark, sf):
+    """Batch files merged into one table a year, verified against what was read."""
+    root, out = _batches(spark, sf), scratch_path(spark, "merged")
+    years = sorted(readers.merge_batches(spark, root, out))
+    parts = [spark.read.parquet(f"{out}/{y}.parquet").agg(F.lit(int(y)).alias("year"), F.count("*").alias("n"), F.count("full_text").alias("with_text")) for y in years]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("SELECT doc_id, CASE WHEN doc_id = 0 THEN '2001' ELSE CAST(2001 + doc_id % 3 AS VARCHAR) END AS year, length(text) AS n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def filing_texts(spark, sf):
+    """Texts of the wanted documents, the first of several."""
+    out = readers.filing_texts(spark, _batches(spark, sf), table(spark, sf, "labels"))
+    return out.select("doc_id", F.col("source_year").alias("year"), F.length("full_text").cast("long").alias("n_chars"))
+
+
+@query("SELECT l_suppkey AS permno, count(DISTINCT CAST(l_shipdate AS DATE)) AS days, count(DISTINCT CAST(l_shipdate AS DATE)) AS again FROM lineitem WHERE l_shipdate >= TIMESTAMP '1995-06-01' GROUP BY 1")
+def daily_stage(spark, sf):
+    """The daily panel's stage written with its surfaces, then read again without a rebuild."""
+    prices, bids, delist, names, header = _feeds(spark, sf)
+    path = scratch_path(spark, "stage")
+    built = market.daily_stage(spark, {"prices": prices, "bid_ask": bids, "delist": delist, "names": names, "header": header}, path, "1995-06-01")
+    again = market.daily_stage(spark, {}, path, "1995-06-01", "REUSE")
+    a = built["bridge"].groupBy("KYPERMNO").agg(F.count("*").alias("days"))
+    b = again["core"].groupBy("KYPERMNO").agg(F.count("*").alias("again"))
+    return a.join(b, "KYPERMNO").select(F.col("KYPERMNO").cast("long").alias("permno"), "days", "again")
+
+
+@query("SELECT o_orderkey AS k, strftime(last_day(CAST(o_orderdate AS DATE) - INTERVAL 1 MONTH), '%Y-%m-%d') AS month_end, round(arg_max(l.v, l.d), 4) AS price FROM orders LEFT JOIN (SELECT l_suppkey % 4 AS p, CAST(l_shipdate AS DATE) AS d, max(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2) l ON o_custkey % 4 = l.p AND l.d <= date_trunc('month', o_orderdate)::DATE - 1 AND l.d >= date_trunc('month', o_orderdate)::DATE - 32 GROUP BY o_orderkey, o_orderdate")
+def month_end_price(spark, sf):
+    """The last price at or before the end of the month before each filing, not older than 31 days."""
+    m = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 4).alias("KYPERMNO"), F.col("l_shipdate").cast("date").alias("CALDT")).agg(F.max("l_extendedprice").alias("PRC"))
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 4).alias("KYPERMNO"), F.col("o_orderdate").cast("date").alias("filing_date"))
+    out = events.month_end_price(o, m)
+    return out.select("k", text_date(X.month_end_before(F.col("filing_date"))).alias("month_end"), rounded("prior_month_price", 4).alias("price"))

@@ -107,10 +107,6 @@ def light_metadata(df: DataFrame, drop: Sequence[str] = ("full_text",), sort: Se
     return out.orderBy(*sort) if sort else out
 
 
-def stem(path: str) -> str:
-    return re.sub(r"\.[^.]+$", "", path.rsplit("/", 1)[-1])
-
-
 def discover(spark: SparkSession, base: str) -> dict[str, list[str]]:
     """Yearly parquet files below a folder by year: ``YYYY.parquet`` and ``*YYYY_batch_N.parquet``, in order."""
     out: dict[str, list[str]] = {}

@@ -126,7 +126,10 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     Rows link when their labels are equal and not null, their vectors have equal length and their cosine reaches ``threshold``.
     Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing and are components of their own, as
     are rows without label. Repeated rows link with each other. A component's id is its least non-null id; ``kept`` is null
-    for a null id. Other columns are ignored. Empty input: no rows.
+    for a null id. Ids are whole numbers (components are numbered by them). Other columns are ignored. Empty input: no rows.
+
+    At most ``MAX_PIVOTS`` pivots over all labels, a proven bound, are broadcast; beyond some ``MAX_PIVOTS * CELL_ROWS``
+    vectors, or a quarter of ``MAX_PIVOTS`` large labels, cells grow with the table and are compared as more pairs of blocks.
     """
     spark = vectors.sparkSession
     short_batches(spark)

@@ -519,3 +519,36 @@ def test_warc_payload_length_without_the_payload(spark, tmp_path):
     for more in ("", ", payload binary"):
         rows = spark.read.format("warc").schema(f"record_id string, payload_length long{more}").load(f"file://{tmp_path}").collect()
         assert sorted((r["record_id"], r["payload_length"]) for r in rows) == want
+
+
+def test_secrets_of_null_owners(spark):
+    key, both = "aB3dE5fG7hI9jK1lM3nO5pQ", "zY8xW6vU4tS2rQ0pO9nM7lK"
+    rows = [(1, f"key {key}", None), (2, f"key {key}", None), (3, f"key {both}", None), (4, f"key {both}", "a"), (None, f"key {both}", "a")]
+    got = sorted(((r["doc_id"], r["spans"]) for r in secrets.scan_secrets(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted([(1, "owner:4:27"), (2, "owner:4:27"), (3, ""), (4, ""), (None, "")], key=repr)
+
+
+def test_mixing_ties_do_not_depend_on_the_order_of_rows(spark):
+    rows = [(i // 2, "same words here", "ab"[i % 2]) for i in range(60)] + [(None, "same words here", None)] * 3
+    one = lambda df: sorted(map(repr, mixing.mix_sources(df).collect()))
+    a = frame(spark, rows)
+    assert one(a) == one(a) and [r["size"] for r in mixing.mix_sources(a).collect()].count(3) == 63
+    taken = lambda df: sum(r["taken"] for r in mixing.mix_sources(df).collect())
+    assert taken(a) == taken(a.repartition(5)) and 0 <= 63 * 3 - taken(a) < 3
+
+
+def test_mixing_sources_without_words(spark):
+    rows = [(i, "some words of this one", "a") for i in range(20)] + [(100, "", "b"), (101, None, "c"), (102, " \n\t", None)]
+    got = {r["doc_id"]: (r["target"], r["taken"]) for r in mixing.mix_sources(frame(spark, rows)).collect()}
+    assert all(got[i] == (0.0, 0) for i in (100, 101, 102)) and sum(t for _, t in got.values()) == 100
+    assert mixing.apply_mix(frame(spark, rows)).count() == 20
+
+
+def test_running_sums(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(k), int(o), int(v)) for k in range(3) for o, v in zip(rng.choice(100_000, 400, replace=False), rng.integers(0, 50, 400), strict=True)]
+    df = spark.createDataFrame(rows, "k long, o long, v long")
+    got = {(r["k"], r["o"]): r["before"] for r in mixing.running_sums(df, ["k"], "o", "v").collect()}
+    assert got == {(k, o): sum(v for k2, o2, v in rows if k2 == k and o2 < o) for k, o, _ in rows}
+    alone = df.filter("k = 0")
+    assert {r["o"]: r["before"] for r in mixing.running_sums(alone, [], "o", "v").collect()} == {o: b for (k, o), b in got.items() if k == 0}

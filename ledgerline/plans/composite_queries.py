@@ -152,7 +152,7 @@ def merge_histories(spark, sf):
     header = table(spark, sf, "nation").select(g.alias("KYGVKEY"), F.lit("01").alias("KYIID"), _day("1995-01-01", g * 0).alias("SBEGDT"), F.concat(F.lit("H"), g).alias("SCUSIP"))
     company = n.select(g.alias("KYGVKEY"), _day("1995-05-01", F.col("j") * 700).alias("HCHGDT"), F.when(F.col("j") < 2, _day("1996-11-01", F.col("j") * 700)).alias("HCHGENDDT"), (100 * g + F.col("j")).alias("HSIC"))
     out = market.merge_histories(_linked_panel(spark, sf).drop("data_status"), security, header, company)
-    return out.select(F.col("KYPERMNO").cast("long").alias("permno"), text_date("CALDT").alias("day"), F.col("HSCUSIP").alias("cusip"), F.col("HSIC").alias("sic"), F.col("data_status").alias("status"))
+    return out.select(F.col("KYPERMNO").cast("long").alias("permno"), text_date("CALDT").alias("day"), F.col("HSCUSIP").alias("cusip"), F.col("HSIC").cast("long").alias("sic"), F.col("data_status").alias("status"))
 
 
 @query(_DAYLINKS + """, m AS (SELECT c_nationkey AS g, c_custkey % 7 AS v, count(*) AS n FROM customer GROUP BY 1, 2), d AS (SELECT g, v FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, lpad(CAST(v AS VARCHAR), 10, '0')) AS r FROM m) WHERE r = 1)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import contracts
 from ..functions import exprs as X
-from ..operators import accounting, asof, enrich, events, links, market, regress, reports, sampling, windows
+from ..operators import accounting, enrich, links, market
 from .registry import query, rounded, table, text_date
 
 

@@ -102,6 +102,10 @@ def test_annual_panel_is_not_broadcast(spark):
     assert no_broadcast(catalog.QUERIES["annual_panel"](spark, "/root/testdata/sf0.001"))
 
 
+def test_quarterly_panel_is_not_broadcast(spark):
+    assert no_broadcast(catalog.QUERIES["attach_quarterly"](spark, "/root/testdata/sf0.001"))
+
+
 def test_event_screen(spark):
     rng = np.random.default_rng(2)
     days = [D.fromordinal(D(2019, 1, 1).toordinal() + i) for i in range(520)]

@@ -47,7 +47,7 @@ def line_key(line_words: list[str]) -> int:
     return xxhash.xxh3_64_intdigest(" ".join(line_words).lower().encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _measure(batches: Iterator[pd.DataFrame], texts: bool) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for doc, host, text in zip(pdf["doc"], pdf["host"], pdf["text"], strict=True):
@@ -62,8 +62,18 @@ def _measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 seen.add(line)
                 key = line_key(found)
                 keys[key] = keys.get(key, 0) + len(found)
-            rows.append((doc, host, len(words), sum(map(len, words)), len(SYMBOLS.findall(text)), dups, repeated_words(words), [{"line": k, "words": n} for k, n in keys.items()]))
-        yield pd.DataFrame(rows, columns=["doc", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+            rows.append((doc, host, text if texts else None, len(words), sum(map(len, words)), len(SYMBOLS.findall(text)), dups, repeated_words(words), [{"line": k, "words": n} for k, n in keys.items()]))
+        yield pd.DataFrame(rows, columns=["doc", "host", "text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"])
+
+
+def _without(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for text, gone in zip(pdf["text"], pdf["gone"], strict=True):
+            keys = set() if gone is None else set(gone)
+            lines = text.split("\n") if keys else [text]
+            out.append("\n".join(x for x in lines if not keys or not (w := WORDS.findall(x)) or line_key(w) not in keys))
+        yield pdf.drop(columns=["text", "gone"]).assign(text=out)
 
 
 def line_rules(
@@ -74,6 +84,7 @@ def line_rules(
     max_docs: int = 20,
     min_words: int = 10,
     min_share: float = 0.5,
+    texts: bool = False,
 ) -> DataFrame:
     """Returns ``id_col``, the measures, ``base_failed``, ``n_removed_words`` and ``kept``, one row per input row.
 
@@ -81,25 +92,26 @@ def line_rules(
     are documents of their own. A document is
     depleted, and not kept, when fewer than ``min_words`` words or less than ``min_share`` of its words remain. Null texts have
     no words and fail. Null hosts are one host. Equal ids and repeated rows are judged each on its own. Other columns are
-    ignored. Empty input: no rows.
+    ignored. Empty input: no rows. With ``texts`` a column ``text`` follows: the whole text without the lines that go.
     """
     short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(
+    given = docs.select(
         F.col(id_col).cast("string").alias("doc"), F.coalesce(F.col(host_col).cast("string"), F.lit("\x00")).alias("host"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    measured = texts.mapInPandas(
-        _measure,
-        "doc string, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:bigint,words:bigint>>",
+    measured = given.mapInPandas(
+        lambda batches: _measure(batches, texts),
+        "doc string, host string, text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<line:bigint,words:bigint>>",
     )
+    measured = measured if texts else measured.drop("text")
     measured = materialize(measured.withColumn("host", F.xxhash64("host")).withColumn("row", F.monotonically_increasing_id()), "lines")
     lines = measured.select("row", "host", F.xxhash64("doc").alias("id"), F.explode("lines").alias("l")).select("row", "host", "id", "l.line", "l.words")
     common = lines.groupBy("host", "line").agg(F.count_distinct("id").alias("docs")).filter(F.col("docs") > max_docs).select("host", "line")
-    removed = lines.select("row", "host", "line", "words").join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"))
+    removed = lines.select("row", "host", "line", "words").join(common, ["host", "line"]).groupBy("row").agg(F.sum("words").alias("n_removed_words"), *([F.collect_set("line").alias("gone")] if texts else []))
     gone = F.coalesce("n_removed_words", F.lit(0))
     left = F.col("n_words") - gone
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return measured.join(removed, "row", "left").select(
+    out = measured.join(removed, "row", "left").select(
         F.col("doc").cast(kind).alias(id_col),
         "n_words",
         "word_chars",
@@ -109,4 +121,8 @@ def line_rules(
         base_failed.alias("base_failed"),
         gone.alias("n_removed_words"),
         (~base_failed & (left >= min_words) & (left >= min_share * F.col("n_words"))).alias("kept"),
+        *(["text", "gone"] if texts else []),
     )
+    if not texts:
+        return out
+    return out.mapInPandas(_without, out.drop("gone", "text").withColumn("text", F.lit("")).schema)

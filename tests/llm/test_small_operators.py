@@ -206,6 +206,13 @@ def test_line_rules_counts_distinct_documents_per_host(spark):
     assert all(got[600 + i]["n_removed_words"] == 0 and got[600 + i]["kept"] for i in range(30))
 
 
+def test_line_rules_return_texts_without_common_lines(spark):
+    own = lambda i: " ".join(f"own{i}w{k}" for k in range(30))
+    rows = [(i, f"Common line of all\n\n{own(i)}", "a") for i in range(25)] + [(100, "common line of all\nx", "b"), (None, None, "a")]
+    got = {r["doc_id"]: r["text"] for r in line_frequency.line_rules(frame(spark, rows), texts=True).collect()}
+    assert got == {**{i: f"\n{own(i)}" for i in range(25)}, 100: rows[25][1], None: ""}
+
+
 @pytest.mark.parametrize("text", ["", "a b", "a b c d e a b c d e", "a b c d e f a b c d e x y", "a " * 30, "a b c d e f g h i j"])
 def test_repeated_words(text):
     w = text.split()
